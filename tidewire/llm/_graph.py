@@ -1,0 +1,34 @@
+"""Connected components of a graph given by its links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.llm._shared import cut
+
+
+def _star(links: DataFrame) -> DataFrame:
+    """Tie every vertex's larger neighbours, then its smaller ones, to the smallest it sees."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    floor = up.groupBy("a").agg(F.min("b").alias("m"))
+    down = up.join(floor, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+    return down.where("a > b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) links between longs -> (a, b) with b the smallest vertex that a reaches, for each a that has a smaller one.
+
+    Large-star and small-star rounds until nothing changes; each round shuffles the links by
+    vertex with map-side minima and is checkpointed in the shared folder. Null and self links drop out.
+    """
+    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if tuple(state) == seen or not state[0]:
+            return links
+        seen = tuple(state)
+        links = cut(_star(links))
