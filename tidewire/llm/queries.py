@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from tidewire.llm import decontaminate, simhash
+from tidewire.llm import boosted_rules, decontaminate, rule_ensemble, secret_scan, simhash
 from tidewire.llm._shared import table
 
 
+def op4_rule_ensemble(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return rule_ensemble.scores(documents, rule_ensemble.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_boosted_rules(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return boosted_rules.verdicts(documents, boosted_rules.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op4_rule_ensemble, op6_secret_scan, op7_simhash, op9_boosted_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
