@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import boosted_rules, decontaminate, mixing, reply_trees, rule_ensemble, secret_scan, simhash
+from tidewire.llm import boosted_rules, decontaminate, mixing, pii, reply_trees, rule_ensemble, secret_scan, simhash
 from tidewire.llm._shared import table
 
 
@@ -23,6 +23,10 @@ def op4_rule_ensemble(spark, sf_dir):
     return rule_ensemble.scores(documents, rule_ensemble.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ FROM escaped GROUP BY conv_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_reply_trees, op4_rule_ensemble, op6_secret_scan, op7_simhash, op9_boosted_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_reply_trees, op4_rule_ensemble, op5_pii, op6_secret_scan, op7_simhash, op9_boosted_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op3_reply_trees": OP3_SQL}
