@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import boosted_rules, decontaminate, mixing, pii, reply_trees, rule_ensemble, secret_scan, simhash
+from tidewire.llm import boosted_rules, decontaminate, mixing, phrase_automata, pii, reply_trees, rule_ensemble, secret_scan, simhash
 from tidewire.llm._shared import table
 
 
@@ -35,6 +35,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_phrase_automata(spark, sf_dir):
+    return phrase_automata.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_boosted_rules(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return boosted_rules.verdicts(documents, boosted_rules.fit(documents, table(spark, sf_dir, "labels")))
@@ -61,5 +65,5 @@ FROM escaped GROUP BY conv_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_reply_trees, op4_rule_ensemble, op5_pii, op6_secret_scan, op7_simhash, op9_boosted_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_reply_trees, op4_rule_ensemble, op5_pii, op6_secret_scan, op7_simhash, op8_phrase_automata, op9_boosted_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.SQL, "op3_reply_trees": OP3_SQL}
