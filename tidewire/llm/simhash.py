@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
 from tidewire.llm._graph import components
-from tidewire.llm._shared import stored
+from tidewire.llm._shared import fresh, stored
 
 SEED = 42
 
@@ -98,3 +98,127 @@ def near_duplicates(documents: DataFrame, width: int = 3) -> DataFrame:
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(component, "root").select("fingerprint", "component_id")
     return docs.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- one document of each near-duplicate group, at a similarity of shingle sets ------------------
+#
+# At a similarity of 0.8 over five-word shingles a 64-bit fingerprint differs in some ten bits, out of
+# reach of a small ball. So candidates come from TABLES independent 32-bit fingerprints over two-word
+# shingles, which an edit disturbs less; each meets in the middle as above. Candidate pairs
+# are then verified exactly on their five-word shingle sets.
+
+TABLES = 8
+TABLE_BITS = 32
+SIMILARITY = 0.8
+
+
+def _set_hashes(s: T.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text of a slice (lower-cased), and where each text's begin."""
+    data = _LOWER[s.data]
+    w = T.words(data, s.offsets)
+    hashes = T.span_hashes(data, w.starts, w.ends)
+    n = w.counts
+    grams = T.gram_hashes(hashes, width)
+    owner = w.owner()
+    inside = np.flatnonzero(owner[: len(grams)] == owner[width - 1 :]) if len(grams) else np.zeros(0, np.int64)
+    values, text = grams[inside], owner[inside]
+    short = np.flatnonzero((n > 0) & (n < width))
+    whole = [T.gram_hashes(hashes[w.off[i] : w.off[i + 1]], int(n[i]))[0] for i in short]
+    values, text = np.concatenate([values, np.array(whole, np.uint64)]), np.concatenate([text, short])
+    order = np.argsort(text, kind="stable")
+    return values[order], np.searchsorted(text[order], np.arange(len(s) + 1))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> key and TABLES fingerprints of TABLE_BITS bits in four longs."""
+    for batch in batches:
+        rows = []
+        for s in T.slices(batch.column("text"), 1 << 19):
+            values, off = _set_hashes(s, 2)
+            n = np.diff(off)
+            full = np.flatnonzero(n)
+            out = np.zeros((len(s), 4), np.int64)
+            for j in range(4 if len(full) else 0):
+                bits = np.unpackbits(T.mix(values + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(-1, 8), axis=1)
+                ones = np.add.reduceat(bits, off[:-1][full], axis=0, dtype=np.int32)
+                out[full, j] = np.packbits(2 * ones > n[full][:, None], axis=1).view(np.int64)[:, 0]
+            rows.append(out)
+        if rows:
+            made = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(made[:, j]) for j in range(4))], names=["key", "s0", "s1", "s2", "s3"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> key and the set of its five-word shingles' hashes."""
+    for batch in batches:
+        sets = []
+        for s in T.slices(batch.column("text")):
+            values, off = _set_hashes(s, 5)
+            sets += [np.unique(values[a:b]).view(np.int64) for a, b in zip(off, off[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+
+def _candidates(sketches: DataFrame) -> DataFrame:
+    """(a, b, far): pairs that share a value within one bit in some table, each text with the smallest there and with one that has the value itself."""
+    tables = [F.shiftright(F.col(f"s{i // 2}"), 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) for i in range(TABLES)]
+    balls = F.array(*(F.lit(0), *(F.lit(1 << i) for i in range(TABLE_BITS))))
+    whole = F.struct("key", "s0", "s1", "s2", "s3")
+    # the table's number goes above the value's 32 bits, so one column is the key of the shuffle
+    each = sketches.select(whole.alias("me"), F.posexplode(F.array(*tables)).alias("table", "value"))
+    each = each.select("me", F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("value")).alias("value"))
+    met = each.select("me", F.explode(F.transform(balls, lambda m: F.struct(F.col("value").bitwiseXOR(m.cast("long")).alias("value"), m.alias("off")))).alias("x")).select("me.key", "x.value", F.when(F.col("x.off") == 0, 0).otherwise(1).alias("off"))
+    here = Window.partitionBy("value")
+    met = met.select("key", F.min("key").over(here).alias("least"), F.min(F.struct("off", "key")).over(here)["key"].alias("centre"))
+    pairs = met.where("key <> least or key <> centre").select("key", F.explode(F.array("least", "centre")).alias("other")).where("key <> other")
+    pairs = pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
+    own = [f"s{i}" for i in range(4)]
+    left = sketches.select(F.col("key").alias("a"), *(F.col(c).alias(f"a{c}") for c in own))
+    right = sketches.select(F.col("key").alias("b"), *(F.col(c).alias(f"b{c}") for c in own))
+    far = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in own), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", far.alias("far"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are as similar as asked (two empty sets are)."""
+    pairs = stored(pairs.select("a", "b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = stored(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, root): near-duplicate group of each distinct text (a hash of it), for texts not their group's root.
+
+    Each text's nearest candidate and its smallest are verified first; after that only candidates
+    between different groups are left to verify, so a large group costs a few pairs a member.
+    """
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    sketches = stored(texts.mapInArrow(_sketch, "key long, s0 long, s1 long, s2 long, s3 long").groupBy("key").agg(*(F.min(f"s{i}").alias(f"s{i}") for i in range(4))))
+    # unrelated texts differ in about 128 of the 256 bits, similar ones in less than 60
+    pairs = stored(_candidates(sketches).where("far <= 80"))
+    first = pairs.groupBy("a").agg(F.min("b").alias("least"), F.min(F.struct("far", "b")).alias("near")).select("a", F.explode(F.array("least", "near.b")).alias("b")).distinct()
+    found = stored(_verified(first, texts, similarity))
+    root = components(found)
+    of_a, of_b = root.select("a", F.col("b").alias("ra")), root.select(F.col("a").alias("b"), F.col("b").alias("rb"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return components(found.unionByName(_verified(rest, texts, similarity))).select(F.col("a").alias("key"), F.col("b").alias("root"))
+
+
+def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents (all columns) with the smallest doc_id of each group of near-duplicates, one row each; rows without doc_id count last."""
+    key, i, k, n = fresh(documents, "key", "i", "k", "n")
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = documents.select("doc_id", text_key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    grouped = rows.join(groups(documents, similarity), "key", "left")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n"))
+    keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(best.alias("x")).select(F.col("x.doc_id").alias(i), F.col("x.key").alias(k), F.col("x.n").alias(n)))
+    kept = documents.withColumn(key, text_key).join(keep, F.col(key).eqNullSafe(F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i)))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return kept.where(F.col(n) == 1).select(*columns).unionByName(kept.where(F.col(n) > 1).dropDuplicates([i, k]).select(*columns))
