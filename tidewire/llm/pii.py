@@ -32,7 +32,7 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"[A-Za-z0-9](?<![A-Za-z0-9._/+@-][A-Za-z0-9])[A-Za-z0-9_/+@-]*+(?:\.[A-Za-z0-9_/+@-]++)*+"
+TOKEN = r"[A-Za-z0-9](?<![A-Za-z0-9._/+@-][A-Za-z0-9])(?:(?<=[0-9])|(?=[A-Za-z._/+@-]*+[0-9]))[A-Za-z0-9_/+@-]*+(?:\.[A-Za-z0-9_/+@-]++)*+"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 ROUNDS = 3
@@ -45,9 +45,13 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """All matches of an expression with their offsets: what lies between them is measured by splitting."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _hits(text: Column, pattern: str, possible: Column) -> Column:
+    """All matches of an expression, sought only where they are possible."""
+    return F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _located(text: Column, pattern: str, hits: Column) -> Column:
+    """The offsets of all matches: what lies between them is measured by splitting."""
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
@@ -57,27 +61,33 @@ def _located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(begin.alias("begin"), end.alias("end"), x.hit.alias("hit")))).alias("out"))
 
     pairs = F.zip_with(hits, F.slice(between, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda a: a.out)).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda a: a.out)).otherwise(_none())
 
 
 def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Kind -> spans; each kind is sought only in texts that have a character it needs."""
+_PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "tokens": TOKEN}
+
+
+def _spanned(docs: DataFrame) -> DataFrame:
+    """Adds the spans of each kind and of identifier-like tokens to (doc_id, key, text).
+
+    Matches come first, in a projection of their own; most texts have none and go no further.
+    """
+    text = F.col("text")
     number = text.rlike("[0-9]")
-    found = {
-        "email": F.when(F.contains(text, F.lit("@")), _located(text, EMAIL)).otherwise(_none()),
-        "ip": F.when(number, _located(text, IP)).otherwise(_none()),
-        "card": F.when(number, _located(text, CARD)).otherwise(_none()),
-        "phone": F.when(F.contains(text, F.lit("+")), _located(text, PHONE)).otherwise(_none()),
-    }
-    return found | {
-        "ip": F.filter(found["ip"], lambda s: s.hit.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")),
-        "card": F.filter(found["card"], lambda s: F.call_function("luhn_check", _digits(s.hit))),
-        "phone": F.filter(found["phone"], lambda s: F.length(_digits(s.hit)).between(9, 15)),
-    }
+    need = {"email": F.contains(text, F.lit("@")), "ip": number, "card": number, "phone": F.contains(text, F.lit("+")), "tokens": number}
+    docs = docs.select("*", *(_hits(text, p, need[k]).alias(f"{k}_hits") for k, p in _PATTERNS.items()))
+    docs = docs.select("doc_id", "key", "text", *(_located(text, p, F.col(f"{k}_hits")).alias(k) for k, p in _PATTERNS.items()))
+    return docs.select(
+        "doc_id", "key", "text", "email",
+        F.filter("ip", lambda s: s.hit.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")).alias("ip"),
+        F.filter("card", lambda s: F.call_function("luhn_check", _digits(s.hit))).alias("card"),
+        F.filter("phone", lambda s: F.length(_digits(s.hit)).between(9, 15)).alias("phone"),
+        F.filter("tokens", lambda s: (F.length(s.hit) >= 6) & (F.length(_digits(s.hit)) >= 4)).alias("tokens"),
+    )
 
 
 def _context(text: Column, s: Column) -> Column:
@@ -92,9 +102,7 @@ def _examined(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, key (a hash of the text), spans by kind and occurrences with their patterns."""
     text = F.coalesce("text", F.lit(""))
     docs = documents.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
-    docs = docs.select("doc_id", "key", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
-    tokens = F.when(F.col("text").rlike("[0-9]"), _located(F.col("text"), TOKEN)).otherwise(_none())
-    docs = docs.withColumn("base", F.concat(*KINDS)).withColumn("tokens", F.filter(tokens, lambda s: (F.length(s.hit) >= 6) & (F.length(_digits(s.hit)) >= 4)))
+    docs = _spanned(docs).withColumn("base", F.concat(*KINDS))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b.begin < t.end) & (t.begin < b.end)))
 
     def seen(spans, seed):
