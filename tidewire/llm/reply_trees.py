@@ -71,11 +71,14 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     most = step.count()
     reach = 1
     while True:
-        strides.append(step.where("up is not null").select("id", "up"))
-        if not step.where("up is not null").limit(1).count() or reach > 2 * most:
+        climbing = step.where("up is not null")
+        strides.append(climbing.select("id", "up"))
+        if not climbing.limit(1).count() or reach > 2 * most:
             break
+        # only messages that have not reached their root yet are joined
         above = step.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
-        step = cut(step.join(above, "up", "left").select("conv_id", "id", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")))
+        higher = climbing.join(above, "up").select("conv_id", "id", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("further")).alias("depth"))
+        step = cut(step.where("up is null").unionByName(higher))
         reach *= 2
     ranked = Window.partitionBy("conv_id").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     ends = step.where("up is null").join(leaves, "id").withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= top)
