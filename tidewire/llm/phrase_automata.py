@@ -25,7 +25,6 @@ apart by id and a hash of the text; other columns are ignored or kept.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,27 +99,28 @@ def _segments(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column("places")
+            places, doc_ids, keys = (batch.column(c).to_pylist() for c in ("places", "doc_id", "key"))
             out: dict[str, list] = {c: [] for c in columns}
             for s in T.slices(batch.column("text")):
                 w = T.words(s.data, s.offsets)
                 starts, at, grams = _elected(T.span_hashes(s.data, w.starts, w.ends), w.off, window, gram)
                 first_of = np.searchsorted(at, np.arange(len(grams) + 1))  # windows are in order of what they elect
                 for i in range(len(s)):
-                    text = None
-                    for place in dict.fromkeys(places[s.first + i].as_py()):
-                        g = int(w.off[i]) + place
-                        lo, hi = int(first_of[g]), int(first_of[g + 1])
-                        if lo == hi:
-                            continue
-                        lo, hi = int(starts[lo]), int(starts[hi - 1])
-                        text = s.raw(i).split() if text is None else text
-                        begin = lo - int(w.off[i])
-                        out["anchor"].append(int(grams[g].view(np.int64)))
-                        out["doc_id"].append(batch.column("doc_id")[s.first + i].as_py())
-                        out["key"].append(batch.column("key")[s.first + i].as_py())
-                        out["begin"].append(begin)
-                        out["words"].append(b" ".join(text[begin : begin + hi - lo + window]))
+                    zero = int(w.off[i])
+                    g = np.array(sorted(set(places[s.first + i])), np.int64) + zero
+                    lo, hi = first_of[g], first_of[g + 1]
+                    g, lo, hi = g[lo < hi], lo[lo < hi], hi[lo < hi]
+                    if not len(g):
+                        continue
+                    text = b" ".join(s.raw(i).split())
+                    size = w.ends[zero : w.off[i + 1]] - w.starts[zero : w.off[i + 1]]
+                    place = np.concatenate([[0], np.cumsum(size + 1)])  # of each word in the text joined by one space
+                    begin, end = starts[lo] - zero, starts[hi - 1] - zero + window
+                    out["words"] += [text[a : b - 1] for a, b in zip(place[begin].tolist(), place[end].tolist())]
+                    out["anchor"] += grams[g].view(np.int64).tolist()
+                    out["begin"] += begin.tolist()
+                    out["doc_id"] += [doc_ids[s.first + i]] * len(g)
+                    out["key"] += [keys[s.first + i]] * len(g)
             kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.string()]
             arrays = [pa.array(out[c], pa.binary()).cast(pa.string()) if c == "words" else pa.array(out[c], k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
@@ -136,34 +136,39 @@ def _locate(window: int):
 
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         ids: dict[str, int] = {}
-        coded: list[tuple[tuple, list[tuple[int, ...]]]] = []
+        coded: list[tuple[tuple[int, ...], list[tuple]]] = []
         for confirmed, segments in groups:
-            sequences = [tuple(ids.setdefault(x, len(ids) + 1) for x in words.split(" ")) for *_, words in segments]
-            seen = Counter(q[i : i + window] for q in sequences for i in range(len(q) - window + 1))
+            places: dict[str, list[tuple]] = {}  # equal segments are looked at once
+            for *place, words in segments:
+                places.setdefault(words, []).append(place)
+            seen: dict[tuple[int, ...], int] = {}
+            for words, own in places.items():
+                q = tuple([ids.setdefault(x, len(ids) + 1) for x in words.split(" ")])
+                coded.append((q, own))
+                for i in range(len(q) - window + 1):
+                    x = q[i : i + window]
+                    seen[x] = seen.get(x, 0) + len(own)
             for q, n in seen.items():
                 if n > 1:
                     automaton.add_word(q, window)
             for words in confirmed:
-                q = tuple(ids.setdefault(x, len(ids) + 1) for x in words.split(" "))
+                q = tuple([ids.setdefault(x, len(ids) + 1) for x in words.split(" ")])
                 if q in seen:
                     automaton.add_word(q, window)
-            coded.append((segments, sequences))
         if not len(automaton):
             return
         automaton.make_automaton()
-        for segments, sequences in coded:
-            for (doc_id, key, begin, _), q in zip(segments, sequences):
-                run = None
-                for last, length in automaton.iter(q):
-                    a, b = begin + last - length + 1, begin + last + 1
-                    if run and a <= run[1]:
-                        run[1] = b
-                        continue
-                    if run:
-                        yield doc_id, key, *run
-                    run = [a, b]
-                if run:
-                    yield doc_id, key, *run
+        for q, own in coded:
+            runs: list[list[int]] = []
+            for last, length in automaton.iter(q):
+                a, b = last - length + 1, last + 1
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            for doc_id, key, begin in own:
+                for a, b in runs:
+                    yield doc_id, key, begin + a, begin + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -204,9 +209,11 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     salts = F.ceil(F.col("n") / HOT).cast("int")
     hot = recurring.where(F.col("n") > HOT).select("anchor", salts.alias("salts"))
     dealt = stored(segments.join(hot, "anchor", "left"))
-    windows = dealt.where("salts is not null").select("anchor", "salts", F.split("words", " ").alias("w"))
-    windows = windows.select("anchor", "salts", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.array_join(F.slice("w", i, window), " "))).alias("words"))
-    confirmed = windows.groupBy("anchor", "words").agg(F.count("*").alias("n"), F.first("salts").alias("salts")).where("n > 1")
+    # equal segments are counted before they are taken apart
+    equal = dealt.where("salts is not null").groupBy("anchor", "salts", "words").agg(F.count("*").alias("n"))
+    windows = equal.select("anchor", "salts", "n", F.split("words", " ").alias("w"))
+    windows = windows.select("anchor", "salts", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.array_join(F.slice("w", i, window), " "))).alias("words"))
+    confirmed = windows.groupBy("anchor", "words").agg(F.sum("n").alias("n"), F.first("salts").alias("salts")).where("n > 1")
     none = [F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("begin")]
     proofs = confirmed.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("proof"), *none, "words")
     salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")), F.lit(0)).cast("int")
