@@ -55,7 +55,7 @@ def _rules(t: Column, b: Column, x: Column, original: Column) -> list[Rule]:
     article = r"[^.!?]*\barticle\s*19\b[^.!?]*"
     detail = x.rlike(r"\b[a-z]{2}[a-z0-9]{9}\d\b") | x.rlike(r"\b\d[\d ,.]*\s+shares\b") | x.rlike(r"\bprice\b") | amount
     mar = x.rlike(rf"(?:{article}(?:\bmar\b|market abuse regulation))|(?:(?:\bmar\b|market abuse regulation){article})")
-    add(-65, "MAR Article 19 / PDMR", has_any(x, V.PDMR) | (mar & detail), "pdmr_managers_transactions", 0.95, True)
+    add(-65, "MAR Article 19 / PDMR", has_any(x, V.PDMR) | (x.rlike(r"\barticle\s*19\b") & mar & detail), "pdmr_managers_transactions", 0.95, True)
     add(-50, "debt security + currency/amount", x.rlike(V.DEBT) & amount, "debt_bond_issue", 0.90, True)
     venue = has_any(x, V.EXCHANGES)
     add(-45.1, "admission/delisting routing", venue & x.rlike(V.DELISTING), "admission_delisting", 0.88)
