@@ -14,6 +14,7 @@ doc_id keep their fingerprint and are never the smallest id; other columns are i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
 from tidewire.llm._graph import components
-from tidewire.llm._shared import fresh, stored
+from tidewire.llm._shared import Scratch, fresh, shared_folder, stored
 
 SEED = 42
 
@@ -110,6 +111,9 @@ def near_duplicates(documents: DataFrame, width: int = 3) -> DataFrame:
 TABLES = 8
 TABLE_BITS = 32
 SIMILARITY = 0.8
+#: Bits (of 256) from which candidates are not looked at: 0.8 similar texts differ in some 25 to 35.
+MOST_FAR = 80
+_FLIPS = (0, *(1 << i for i in range(TABLE_BITS)))
 
 
 def _set_hashes(s: T.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +147,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(n)
             out = np.zeros((len(s), 4), np.int64)
             for j in range(4 if len(full) else 0):
-                bits = np.unpackbits(T.mix(values + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(-1, 8), axis=1)
+                bits = np.unpackbits(T.mix(values + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1)
                 ones = np.add.reduceat(bits, off[:-1][full], axis=0, dtype=np.int32)
                 out[full, j] = np.packbits(2 * ones > n[full][:, None], axis=1).view(np.int64)[:, 0]
             rows.append(out)
@@ -162,63 +166,79 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """(a, b, far): pairs that share a value within one bit in some table, each text with the smallest there and with one that has the value itself."""
+def _candidates(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs to verify, a few for each text however large its group.
+
+    Texts with the same value in a table are tied to the smallest of them. Distinct values emit their
+    balls; at each meeting point every value is tied to the one that most texts have, so the members of
+    a large group meet at few leaders.
+    """
     tables = [F.shiftright(F.col(f"s{i // 2}"), 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) for i in range(TABLES)]
-    balls = F.array(*(F.lit(0), *(F.lit(1 << i) for i in range(TABLE_BITS))))
-    whole = F.struct("key", "s0", "s1", "s2", "s3")
     # the table's number goes above the value's 32 bits, so one column is the key of the shuffle
-    each = sketches.select(whole.alias("me"), F.posexplode(F.array(*tables)).alias("table", "value"))
-    each = each.select("me", F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("value")).alias("value"))
-    met = each.select("me", F.explode(F.transform(balls, lambda m: F.struct(F.col("value").bitwiseXOR(m.cast("long")).alias("value"), m.alias("off")))).alias("x")).select("me.key", "x.value", F.when(F.col("x.off") == 0, 0).otherwise(1).alias("off"))
-    here = Window.partitionBy("value")
-    met = met.select("key", F.min("key").over(here).alias("least"), F.min(F.struct("off", "key")).over(here)["key"].alias("centre"))
-    pairs = met.where("key <> least or key <> centre").select("key", F.explode(F.array("least", "centre")).alias("other")).where("key <> other")
-    pairs = pairs.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
+    marked = F.transform(F.array(*tables), lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v))
+    each = sketches.select("key", F.explode(marked).alias("value"))
+    values = scratch.store(each.groupBy("value").agg(F.count("*").alias("n"), F.min("key").alias("leader")))
+    shared = values.where("n > 1").select("value", "leader")
+    same = each.join(shared, "value").where("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
+    # a row of the shuffle is a meeting point and a small number: the flipped bit, and above it the size class of
+    # the texts that have the value; the value itself is the meeting point with that bit flipped back
+    weight = F.least(F.floor(F.log2("n")), F.lit(62)) * 64
+    met = values.select(weight.cast("int").alias("weight"), F.posexplode(F.transform(F.array(*(F.lit(m).cast("long") for m in _FLIPS)), lambda m: F.col("value").bitwiseXOR(m))).alias("bit", "point"))
+    met = met.select("point", (F.col("weight") + F.col("bit")).alias("note"))
+    flip = F.element_at(F.array(*(F.lit(m).cast("long") for m in _FLIPS)), F.col("note") % 64 + 1)
+    here = met.select("point", F.shiftright("note", 6).alias("weight"), F.col("point").bitwiseXOR(flip).alias("value"))
+    best = F.max(F.struct("weight", "value")).over(Window.partitionBy("point"))["value"]
+    tied = here.select("value", best.alias("best")).where("value <> best").distinct()
+    near = tied.join(values.select("value", F.col("leader").alias("x")), "value").join(values.select(F.col("value").alias("best"), F.col("leader").alias("y")), "best").where("x <> y").select("x", "y")
+    pairs = same.unionByName(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    # texts that met by chance differ in about half of all bits, similar ones in far fewer
     own = [f"s{i}" for i in range(4)]
     left = sketches.select(F.col("key").alias("a"), *(F.col(c).alias(f"a{c}") for c in own))
     right = sketches.select(F.col("key").alias("b"), *(F.col(c).alias(f"b{c}") for c in own))
     far = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in own), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", far.alias("far"))
+    return pairs.join(left, "a").join(right, "b").where(far <= MOST_FAR).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are as similar as asked (two empty sets are)."""
-    pairs = stored(pairs.select("a", "b"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stored(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, root): near-duplicate group of each distinct text (a hash of it), for texts not their group's root.
-
-    Each text's nearest candidate and its smallest are verified first; after that only candidates
-    between different groups are left to verify, so a large group costs a few pairs a member.
-    """
-    text = F.coalesce("text", F.lit(""))
-    texts = documents.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    sketches = stored(texts.mapInArrow(_sketch, "key long, s0 long, s1 long, s2 long, s3 long").groupBy("key").agg(*(F.min(f"s{i}").alias(f"s{i}") for i in range(4))))
-    # unrelated texts differ in about 128 of the 256 bits, similar ones in less than 60
-    pairs = stored(_candidates(sketches).where("far <= 80"))
-    first = pairs.groupBy("a").agg(F.min("b").alias("least"), F.min(F.struct("far", "b")).alias("near")).select("a", F.explode(F.array("least", "near.b")).alias("b")).distinct()
-    found = stored(_verified(first, texts, similarity))
-    root = components(found)
-    of_a, of_b = root.select("a", F.col("b").alias("ra")), root.select(F.col("a").alias("b"), F.col("b").alias("rb"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return components(found.unionByName(_verified(rest, texts, similarity))).select(F.col("a").alias("key"), F.col("b").alias("root"))
+def _bucketed(documents: DataFrame, by: str) -> DataFrame:
+    """`documents` as a table in the shared folder, bucketed by a column: it is shuffled once, and joins on that column leave it in place."""
+    spark = documents.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    documents.repartition(n, by).write.bucketBy(n, by).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents (all columns) with the smallest doc_id of each group of near-duplicates, one row each; rows without doc_id count last."""
-    key, i, k, n = fresh(documents, "key", "i", "k", "n")
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = documents.select("doc_id", text_key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    grouped = rows.join(groups(documents, similarity), "key", "left")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n"))
-    keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(best.alias("x")).select(F.col("x.doc_id").alias(i), F.col("x.key").alias(k), F.col("x.n").alias(n)))
-    kept = documents.withColumn(key, text_key).join(keep, F.col(key).eqNullSafe(F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i)))
+    row, key = fresh(documents, "row", "key")
+    text = F.coalesce("text", F.lit(""))
+    docs = _bucketed(documents.withColumns({key: F.xxhash64(text), row: F.xxhash64(text, F.lit("/"), F.col("doc_id"))}), row)
+    base = docs.select(F.col(key).alias("key"), F.col(row).alias("row"), "doc_id", text.alias("text"))
+
+    # of equal texts one is looked at: the row with the smallest id
+    scratch = Scratch(documents.sparkSession)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    of_key = scratch.store(base.groupBy("key").agg(first.alias("x")).select("key", "x.none", "x.doc_id", "x.row"))
+    # rows that repeat id and text stand in one bucket, so dropping them shuffles nothing
+    alone = base.join(of_key.select("row"), "row", "left_semi").select("key", "row", "text").dropDuplicates(["row"])
+    sketches = scratch.store(alone.select("key", "text").mapInArrow(_sketch, "key long, s0 long, s1 long, s2 long, s3 long"))
+    pairs = scratch.store(_candidates(sketches, scratch))
+    asked = of_key.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("row")
+    sets = scratch.store(alone.join(asked, "row", "left_semi").select("key", "text").mapInArrow(_shingle_sets, "key long, shingles array<long>"))
+    root = components(_verified(pairs, sets, similarity))
+    grouped = of_key.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
+    keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("none", "doc_id", "row")).alias("x")).select(F.col("x.row").alias(row)))
+    scratch.clear()
+    kept = docs.join(keep, row, "left_semi")
+    # rows that repeat id and text are equal here; one of them stays
+    repeated = kept.groupBy(row).agg(F.count("*").alias("n")).where("n > 1").select(row)
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return kept.where(F.col(n) == 1).select(*columns).unionByName(kept.where(F.col(n) > 1).dropDuplicates([i, k]).select(*columns))
+    once = kept.join(repeated, row, "left_anti").select(*columns)
+    return once.unionByName(kept.join(repeated, row, "left_semi").dropDuplicates([row]).select(*columns))
