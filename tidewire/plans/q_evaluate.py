@@ -102,9 +102,9 @@ def market_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.date_format(local, "EEEE").alias("weekday"), metrics.market_window(local).alias("window")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s.slot::INTEGER AS slot, count(e.event_id) AS n FROM range(48) s(slot) LEFT JOIN events e ON (hour(e.ts) * 60 + minute(e.ts)) // 30 = s.slot AND e.event_type = 'signup' AND e.user_id = 5 GROUP BY s.slot""")
+@query("""SELECT s.slot::INTEGER AS slot, count(e.event_id) AS n FROM range(48) s(slot) LEFT JOIN events e ON (hour(e.ts) * 60 + minute(e.ts)) // 30 = s.slot GROUP BY s.slot""")
 def halfhour_zero_fill(spark, sf_dir):
-    return metrics.half_hours(table(spark, sf_dir, "events").where("event_type = 'signup' AND user_id = 5"), "ts")
+    return metrics.half_hours(table(spark, sf_dir, "events"), "ts")
 
 
 @query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5")

@@ -71,12 +71,12 @@ def term_presence(spark, sf_dir):
     return p.select("doc_id", fold(x).rlike(alternation(V.FINANCIAL)).alias("financial"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en')
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
 SELECT doc_id, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' AND list_contains(w[greatest(i - 3, 1):i + 3], 'with'))) > 0 AS near FROM t""")
 def token_proximity(spark, sf_dir):
     """`the` within three words of `with`, in either order."""
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 2000)), F.lit("[a-z0-9]+"), F.lit(0))
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", words.alias("w"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
 
     def close(i):
         first = F.greatest(i - 3, F.lit(1))
@@ -85,11 +85,10 @@ def token_proximity(spark, sf_dir):
     return d.select("doc_id", F.exists(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), close).alias("near"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(?:^|[^a-z0-9_åäöæøéèüïóáç])(?:the[a-z0-9_]*(?:[^a-z0-9_åäöæøéèüïóáç]+[a-z0-9_åäöæøéèüïóáç]+){0,2}?[^a-z0-9_åäöæøéèüïóáç]+with[a-z0-9_]*|with[a-z0-9_]*(?:[^a-z0-9_åäöæøéèüïóáç]+[a-z0-9_åäöæøéèüïóáç]+){0,2}?[^a-z0-9_åäöæøéèüïóáç]+the[a-z0-9_]*)') AS near FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_matches(lower(text), '(?:^|[^a-z0-9_åäöæøéèüïóáç])(?:the[a-z0-9_]*(?:[^a-z0-9_åäöæøéèüïóáç]+[a-z0-9_åäöæøéèüïóáç]+){0,2}?[^a-z0-9_åäöæøéèüïóáç]+with[a-z0-9_]*|with[a-z0-9_]*(?:[^a-z0-9_åäöæøéèüïóáç]+[a-z0-9_åäöæøéèüïóáç]+){0,2}?[^a-z0-9_åäöæøéèüïóáç]+the[a-z0-9_]*)') AS near FROM documents")
 def stem_proximity(spark, sf_dir):
     """Words that begin with `the` and `with`, at most two words between them."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", near("text", ["the"], ["with"], 2).alias("near"))
+    return table(spark, sf_dir, "documents").select("doc_id", near("text", ["the"], ["with"], 2).alias("near"))
 
 
 _LEX = {

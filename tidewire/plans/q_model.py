@@ -49,7 +49,7 @@ def diverse_subset(spark, sf_dir):
 
 @query()
 def topic_hints(spark, sf_dir):
-    return modeling.topic_hints(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text", 3)
+    return modeling.topic_hints(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
 
 
 @query(f"""WITH {_CENTROIDS}, cl AS (SELECT vec_id % 7 AS cluster, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings),
