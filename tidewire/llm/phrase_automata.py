@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
-from tidewire.llm._shared import fresh, stored
+from tidewire.llm._shared import Scratch, fresh, stored
 
 WINDOW = 35
 GRAM = 8
@@ -202,13 +202,14 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     kind = dict(documents.dtypes)["doc_id"]
     seen = stored(docs.mapInArrow(_anchors(window, gram), f"doc_id {kind}, key long, n_words long, whole string, anchors array<long>, places array<int>"))
     each = seen.select("doc_id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "key", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    recurring = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    scratch = Scratch(documents.sparkSession)
+    recurring = scratch.store(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     places = each.join(recurring.select("anchor"), "anchor").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("place").alias("places"))
     again = docs.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", F.sort_array("places").alias("places"))
     segments = again.mapInArrow(_segments(window, gram), f"anchor long, doc_id {kind}, key long, begin int, words string")
     salts = F.ceil(F.col("n") / HOT).cast("int")
     hot = recurring.where(F.col("n") > HOT).select("anchor", salts.alias("salts"))
-    dealt = stored(segments.join(hot, "anchor", "left"))
+    dealt = scratch.store(segments.join(hot, "anchor", "left"))
     # equal segments are counted before they are taken apart
     equal = dealt.where("salts is not null").groupBy("anchor", "salts", "words").agg(F.count("*").alias("n"))
     windows = equal.select("anchor", "salts", "n", F.split("words", " ").alias("w"))
@@ -221,7 +222,9 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     shards = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("proof").desc())
     spans = shards.mapInArrow(_locate(window), f"doc_id {kind}, key long, begin int, end int")
     spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    return seen.select("doc_id", "key", "n_words", "whole"), stored(spans)
+    spans = stored(spans)
+    scratch.clear()
+    return seen.select("doc_id", "key", "n_words", "whole"), spans
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
