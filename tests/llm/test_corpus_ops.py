@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import corpus, empty, frame, low, words
 from tests.oracle import assert_same, rows as as_rows
-from tidewire.llm import _graph, fixity, mixing, phrase_automata, queries, reply_trees, simhash
+from tidewire.llm import fixity, mixing, phrase_automata, queries, reply_trees, simhash
+from tidewire.operators.graph import components
 
 
 def _roots(n, linked):
@@ -60,7 +61,7 @@ def test_one_of_each(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
-    out = {r.a: r.b for r in _graph.components(links).collect()}
+    out = {r.a: r.b for r in components(links).collect()}
     assert out == {**{i: 0 for i in range(1, 301)}, 501: 500}
 
 
