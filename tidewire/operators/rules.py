@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import alternation, fold, has_any, near, text_or_empty
+from tidewire.functions.text import alternation, fold, folded_term, text_or_empty
+from tidewire.functions.text import folded_has as has_any
+from tidewire.functions.text import folded_near as near
 from tidewire.functions.vectors import bind
 from tidewire.operators import vocabulary as V
 
@@ -137,15 +139,16 @@ def load_lexicon(path: str) -> dict[str, dict[str, list[str]]]:
 def lexicon_hits(df: DataFrame, lexicon: dict, key: str = "doc_id", title: str = "title", body: str = "body") -> DataFrame:
     """(key, cid, kind, term) of every term that a text has: the terms of a kind are tested in one projection, no join is made."""
     x = fold(F.concat_ws(" ", title, body))
-    found = [
-        F.when(x.rlike(alternation([term.lower()])), F.struct(F.lit(cid).alias("cid"), F.lit(kind).alias("kind"), F.lit(term).alias("term")))
-        for cid, kinds in lexicon.items()
-        for kind, terms in kinds.items()
-        for term in terms
-    ]
+
+    def found(text):
+        return F.array(*(
+            F.when(folded_term(text, term), F.struct(F.lit(cid).alias("cid"), F.lit(kind).alias("kind"), F.lit(term).alias("term")))
+            for cid, kinds in lexicon.items() for kind, terms in kinds.items() for term in terms
+        ))
+
     # a text without any term at all is settled by one pattern
     every = alternation({t.lower() for kinds in lexicon.values() for terms in kinds.values() for t in terms})
-    return df.where(x.rlike(every)).select(key, F.explode(F.filter(F.array(*found), lambda h: h.isNotNull())).alias("h")).select(key, "h.cid", "h.kind", "h.term")
+    return df.where(x.rlike(every)).select(key, F.explode(F.array_compact(bind(x, found))).alias("h")).select(key, "h.cid", "h.kind", "h.term")
 
 
 def lexicon_scores(df: DataFrame, lexicon: dict, w: Weights = Weights(), key: str = "doc_id", title: str = "title", body: str = "body") -> DataFrame:
@@ -156,8 +159,7 @@ def lexicon_scores(df: DataFrame, lexicon: dict, w: Weights = Weights(), key: st
     gated = F.array(*(F.lit(cid) for cid, kinds in lexicon.items() if kinds.get("must_any"))).cast("array<string>")
     ok = n.where((F.col("exclude") == 0) & (F.col("must_all") >= need[F.col("cid")]) & (~F.array_contains(gated, F.col("cid")) | (F.col("must_any") > 0)))
     fired = F.least(F.col("must_any"), F.lit(1))
-    text = fold(F.concat_ws(" ", title, body))
-    boosts = df.select(F.col(key), F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(c)) for c, p in BOOSTED.items()))).alias("boosted"))
+    boosts = df.select(F.col(key), F.array_compact(bind(fold(F.concat_ws(" ", title, body)), lambda x: F.array(*(F.when(x.rlike(p), F.lit(c)) for c, p in BOOSTED.items())))).alias("boosted"))
     plain = w.must_all * F.col("must_all") + w.any * F.col("any") + w.context * F.col("context")
     scored = ok.join(boosts, key).select(
         key, "cid",

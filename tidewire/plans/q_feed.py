@@ -64,7 +64,7 @@ def system_mail_filter(spark, sf_dir):
     return gates.not_system_mail(press(spark, sf_dir)).select("doc_id")
 
 
-@query(f"""WITH {PRESS} SELECT doc_id, regexp_matches(lower(title || ' ' || body), {_q(alternation(V.FINANCIAL))}) AS financial FROM press""")
+@query(f"""WITH {PRESS} SELECT doc_id, regexp_matches(lower(title || ' ' || body), {_q(alternation(V.FINANCIAL, portable=True))}) AS financial FROM press""")
 def term_presence(spark, sf_dir):
     p = press(spark, sf_dir)
     x = F.concat_ws(" ", "title", "body")
