@@ -136,7 +136,8 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 def unaccent(c) -> Column:
     """Common Latin letters without their marks (ø, æ and ß are letters of their own and stay)."""
-    return F.translate(text_or_empty(c), _MARKED, _PLAIN)
+    text = text_or_empty(c)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, _MARKED, _PLAIN))
 
 
 def dedup_key(c) -> Column:
