@@ -1,6 +1,7 @@
 """Operators over the whole corpus against brute force: op1, op2, op3, op7, op8 and the pipeline."""
 
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -59,6 +60,49 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def _similarity(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (low(x).split(), low(y).split()))
+    return len(a & b) / len(a | b)
+
+
+def _one_of_each_by_force(texts, similarity=0.8):
+    root = _roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if _similarity(texts[i], texts[j]) >= similarity])
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def _kept_ids(spark, texts):
+    return {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+
+
+def _drawn(r, n):
+    return [f"v{r.randrange(10**6)}" for _ in range(n)]
+
+
+def test_one_of_each_behind_a_repeated_line(spark):
+    r, line = random.Random(11), " ".join(f"l{i}" for i in range(11))
+    firsts = [_drawn(r, 300) for _ in range(60)]
+    seconds = [[*w[:150], "changed", *w[151:]] for w in firsts]
+    texts = [" ".join(w) + f" {line}" * 60 for w in firsts + seconds]
+    assert all(_similarity(texts[i], texts[60 + i]) > 0.9 for i in range(60))
+    assert _kept_ids(spark, texts) == set(range(60))
+
+
+def test_one_of_each_compares_those_that_leaders_reject(spark, monkeypatch):
+    """One minimum a value: nearly every value has many unlike texts, chains of similar ones among them."""
+    monkeypatch.setattr(simhash, "ROWS", 1)
+    r = random.Random(12)
+    common, texts = _drawn(r, 40), []
+    for _ in range(30):
+        w = common + _drawn(r, 60)
+        for _ in range(r.randrange(1, 5)):
+            texts.append(" ".join(w))
+            at = r.randrange(40, 90)
+            w = w[:at] + _drawn(r, 5) + w[at + 5 :]
+    r.shuffle(texts)
+    expected = _one_of_each_by_force(texts)
+    assert 30 <= len(expected) < len(texts) and _kept_ids(spark, texts) == expected
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     out = {r.a: r.b for r in components(links).collect()}

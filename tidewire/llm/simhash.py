@@ -104,16 +104,18 @@ def near_duplicates(documents: DataFrame, width: int = 3) -> DataFrame:
 # --- one document of each near-duplicate group, at a similarity of shingle sets ------------------
 #
 # At a similarity of 0.8 over five-word shingles a 64-bit fingerprint differs in some ten bits, out of
-# reach of a small ball. So candidates come from TABLES independent 32-bit fingerprints over two-word
-# shingles, which an edit disturbs less; each meets in the middle as above. Candidate pairs
-# are then verified exactly on their five-word shingle sets.
-
-TABLES = 8
-TABLE_BITS = 32
+# reach of a small ball, and how many depends on the kind of edit. So candidates come from the sets that are
+# verified: BANDS values of ROWS minima each over the five-word shingles (a minimum agrees with
+# the probability of the similarity, whatever the edit and however often a shingle repeats). Two texts
+# of similarity s share no value with probability (1 - s^ROWS)^BANDS: 6e-5 at 0.8, 3e-7 at 0.85.
+# Texts with a value in common are then compared exactly, in rounds, until no two of them are left
+# that are neither compared nor in one component.
+
+BANDS = 32
+ROWS = 6
 SIMILARITY = 0.8
-#: Bits (of 256) from which candidates are not looked at: 0.8 similar texts differ in some 25 to 35.
-MOST_FAR = 80
-_FLIPS = (0, *(1 << i for i in range(TABLE_BITS)))
+#: From one round to the next, so many times more texts of a value are compared with all others of it.
+MORE_LEADERS = 8
 
 
 def _set_hashes(s: T.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,23 +139,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> key and TABLES fingerprints of TABLE_BITS bits in four longs."""
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> key and the values of its BANDS bands."""
+    odd = T.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        rows = []
+        made = [np.zeros((0, BANDS), np.int64)]
         for s in T.slices(batch.column("text"), 1 << 19):
-            values, off = _set_hashes(s, 2)
-            n = np.diff(off)
-            full = np.flatnonzero(n)
-            out = np.zeros((len(s), 4), np.int64)
-            for j in range(4 if len(full) else 0):
-                bits = np.unpackbits(T.mix(values + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1)
-                ones = np.add.reduceat(bits, off[:-1][full], axis=0, dtype=np.int32)
-                out[full, j] = np.packbits(2 * ones > n[full][:, None], axis=1).view(np.int64)[:, 0]
-            rows.append(out)
-        if rows:
-            made = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(made[:, j]) for j in range(4))], names=["key", "s0", "s1", "s2", "s3"])
+            values, off = _set_hashes(s, 5)
+            full = np.flatnonzero(np.diff(off))
+            out = np.zeros((len(s), BANDS), np.uint64)
+            turned = np.empty_like(values)
+            for j in range(BANDS * ROWS if len(full) else 0):
+                np.multiply(values, odd[j], out=turned)
+                out[full, j // ROWS] += T.mix(np.minimum.reduceat(turned, off[:-1][full]) + odd[j])
+            made.append(T.mix(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+        rows = np.concatenate(made)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(rows.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,39 +168,6 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
-def _candidates(sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs to verify, a few for each text however large its group.
-
-    Texts with the same value in a table are tied to the smallest of them. Distinct values emit their
-    balls; at each meeting point every value is tied to the one that most texts have, so the members of
-    a large group meet at few leaders.
-    """
-    tables = [F.shiftright(F.col(f"s{i // 2}"), 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) for i in range(TABLES)]
-    # the table's number goes above the value's 32 bits, so one column is the key of the shuffle
-    marked = F.transform(F.array(*tables), lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v))
-    each = sketches.select("key", F.explode(marked).alias("value"))
-    values = scratch.store(each.groupBy("value").agg(F.count("*").alias("n"), F.min("key").alias("leader")))
-    shared = values.where("n > 1").select("value", "leader")
-    same = each.join(shared, "value").where("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
-    # a row of the shuffle is a meeting point and a small number: the flipped bit, and above it the size class of
-    # the texts that have the value; the value itself is the meeting point with that bit flipped back
-    weight = F.least(F.floor(F.log2("n")), F.lit(62)) * 64
-    met = values.select(weight.cast("int").alias("weight"), F.posexplode(F.transform(F.array(*(F.lit(m).cast("long") for m in _FLIPS)), lambda m: F.col("value").bitwiseXOR(m))).alias("bit", "point"))
-    met = met.select("point", (F.col("weight") + F.col("bit")).alias("note"))
-    flip = F.element_at(F.array(*(F.lit(m).cast("long") for m in _FLIPS)), F.col("note") % 64 + 1)
-    here = met.select("point", F.shiftright("note", 6).alias("weight"), F.col("point").bitwiseXOR(flip).alias("value"))
-    best = F.max(F.struct("weight", "value")).over(Window.partitionBy("point"))["value"]
-    tied = here.select("value", best.alias("best")).where("value <> best").distinct()
-    near = tied.join(values.select("value", F.col("leader").alias("x")), "value").join(values.select(F.col("value").alias("best"), F.col("leader").alias("y")), "best").where("x <> y").select("x", "y")
-    pairs = same.unionByName(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    # texts that met by chance differ in about half of all bits, similar ones in far fewer
-    own = [f"s{i}" for i in range(4)]
-    left = sketches.select(F.col("key").alias("a"), *(F.col(c).alias(f"a{c}") for c in own))
-    right = sketches.select(F.col("key").alias("b"), *(F.col(c).alias(f"b{c}") for c in own))
-    far = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in own), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(far <= MOST_FAR).select("a", "b")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are as similar as asked (two empty sets are)."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
@@ -206,6 +175,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Components (a, b) of the similar texts among those that share a value; `members` has (value, key), `texts` (key, text).
+
+    Each round compares some texts of a value, its leaders, with all others of it that are in another component, and takes
+    them out. Values whose texts are in one component are done. Leaders are the
+    smallest key at first, then MORE_LEADERS times more each round, outside the value's largest component: so a large group
+    of copies is tied to few texts, and whoever a leader rejected is compared with the others.
+    """
+    compared = verified = root = None
+    slices = 1
+    while True:
+        leader = F.min(F.struct("key", "root")).alias("x")
+        if root is None:
+            at = members.withColumn("root", F.col("key"))
+            chosen = at.groupBy("value").agg(leader)
+        else:
+            at = members.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("value", "key", F.coalesce("root", "key").alias("root"))
+            most = at.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("most"))
+            at = scratch.store(at.join(most.where("roots > 1"), "value"))
+            chosen = at.where("root <> most").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice")).agg(leader)
+        chosen = scratch.store(chosen.select("value", F.col("x.key").alias("leader"), F.col("x.root").alias("own")))
+        if root is not None and chosen.isEmpty():
+            return root
+        pairs = at.join(chosen, "value").where("root <> own").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
+        pairs = scratch.store(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+        sets = scratch.store(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets, "key long, shingles array<long>"))
+        similar = scratch.store(_verified(pairs, sets, similarity))
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        verified = similar if verified is None else verified.unionByName(similar)
+        root = components(verified)
+        members = scratch.store(at.select("value", "key").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
+        slices *= MORE_LEADERS
+
+
 def _bucketed(documents: DataFrame, by: str) -> DataFrame:
     """`documents` as a table in the shared folder, bucketed by a column: it is shuffled once, and joins on that column leave it in place."""
     spark = documents.sparkSession
@@ -228,11 +231,9 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     of_key = scratch.store(base.groupBy("key").agg(first.alias("x")).select("key", "x.none", "x.doc_id", "x.row"))
     # rows that repeat id and text stand in one bucket, so dropping them shuffles nothing
     alone = base.join(of_key.select("row"), "row", "left_semi").select("key", "row", "text").dropDuplicates(["row"])
-    sketches = scratch.store(alone.select("key", "text").mapInArrow(_sketch, "key long, s0 long, s1 long, s2 long, s3 long"))
-    pairs = scratch.store(_candidates(sketches, scratch))
-    asked = of_key.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("row")
-    sets = scratch.store(alone.join(asked, "row", "left_semi").select("key", "text").mapInArrow(_shingle_sets, "key long, shingles array<long>"))
-    root = components(_verified(pairs, sets, similarity))
+    bands = scratch.store(alone.select("key", "text").mapInArrow(_bands, "key long, bands array<long>")).select("key", F.explode("bands").alias("value"))
+    shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    root = _linked(scratch.store(bands.join(shared, "value")), alone, similarity, scratch)
     grouped = of_key.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("none", "doc_id", "row")).alias("x")).select(F.col("x.row").alias(row)))
     scratch.clear()
