@@ -103,6 +103,21 @@ def test_one_of_each_compares_those_that_leaders_reject(spark, monkeypatch):
     assert 30 <= len(expected) < len(texts) and _kept_ids(spark, texts) == expected
 
 
+def _edited(r, kind):
+    """A text of 400 words and one that is 0.80 to 0.85 similar: longer by a passage, or with one replaced."""
+    w, n = _drawn(r, 400), r.randrange(75, 98) if kind == "append" else r.randrange(30, 40)
+    at = r.randrange(1, 400 - n)
+    other = w + _drawn(r, n) if kind == "append" else w[:at] + _drawn(r, n) + w[at + n :]
+    return " ".join(w), " ".join(other)
+
+
+def test_one_of_each_finds_contiguous_edits(spark):
+    r = random.Random(13)
+    pairs = [_edited(r, kind) for kind in ("append", "block") for _ in range(100)]
+    assert all(0.8 <= _similarity(*p) <= 0.86 for p in pairs)
+    assert _kept_ids(spark, [a for a, _ in pairs] + [b for _, b in pairs]) == set(range(200))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     out = {r.a: r.b for r in components(links).collect()}
