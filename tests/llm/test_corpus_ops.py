@@ -118,6 +118,15 @@ def test_one_of_each_finds_contiguous_edits(spark):
     assert _kept_ids(spark, [a for a, _ in pairs] + [b for _, b in pairs]) == set(range(200))
 
 
+def test_one_of_each_counts_a_repeated_line_once(spark):
+    r, texts = random.Random(14), []
+    for _ in range(20):
+        w, line = _drawn(r, 300), " ".join(_drawn(r, 10))
+        texts.append((" ".join(w) + f" {line}", " ".join(w) + f" {line}" * 200))
+    assert all(_similarity(*p) > 0.95 for p in texts)
+    assert _kept_ids(spark, [a for a, _ in texts] + [b for _, b in texts]) == set(range(20))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     out = {r.a: r.b for r in components(links).collect()}
