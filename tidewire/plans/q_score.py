@@ -115,6 +115,22 @@ def tfidf_cosine(spark, sf_dir):
     return scoring.tfidf_cosine(w.where("doc_id % 50 = 0"), w, "lang", "doc_id", "other").select("doc_id", "other", F.round("cosine", 6).alias("cosine"))
 
 
+@query()
+def tfidf_topterms_trigrams(spark, sf_dir):
+    """As `tfidf_topterms`, over one to three words."""
+    from tidewire.operators import metrics
+
+    w = scoring.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return metrics.top_n(w, "doc_id", [F.round("weight", 9).desc(), F.col("term")], 3).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def tfidf_cosine_trigrams(spark, sf_dir):
+    """As `tfidf_cosine`, over one to three words."""
+    w = scoring.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return scoring.tfidf_cosine(w.where("doc_id % 50 = 0"), w, "lang", "doc_id", "other").select("doc_id", "other", F.round("cosine", 6).alias("cosine"))
+
+
 @query()
 def guidance_extract(spark, sf_dir):
     return guidance.candidates(press(spark, sf_dir))
