@@ -29,6 +29,11 @@ DATE_META = ("article:published_time", "datePublished", "parsely-pub-date", "pub
 DATELINE = re.compile(r"([A-Za-z]{3,9}\s+\d{1,2},\s+\d{4})\s+(\d{1,2}:\d{2})\s*(AM|PM)?\s*(ET|CEST|CET|UTC|GMT|BST)?")
 
 
+def _is(tag: str, a: dict, group: tuple) -> bool:
+    """Whether an element is one of a group of ARTICLE_GROUPS."""
+    return any((kind == "tag" and tag == v) or (kind != "tag" and v in a.get(kind, "").split()) for kind, v in group)
+
+
 class _Page(HTMLParser):
     """One pass: open blocks gather text, and whatever tells company or time is noted."""
 
@@ -37,6 +42,7 @@ class _Page(HTMLParser):
         self.stack: list[tuple[str, dict]] = []
         self.blocks: list[tuple[str, dict, list[str]]] = []
         self.open: list[tuple[int, list[str]]] = []
+        self.plain = 0
         self.all: list[str] = []
         self.title: list[str] = []
         self.meta: list[tuple[str, str]] = []
@@ -52,11 +58,12 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         self.stack.append((tag, a))
-        if tag in ("article", "section", "div", "main") or "itemprop" in a or "class" in a or "id" in a:
-            if len(self.blocks) < MOST_BLOCKS * 4:
-                text: list[str] = []
-                self.blocks.append((tag, a, text))
-                self.open.append((len(self.stack), text))
+        plain = tag in ("div", "section")
+        self.plain += plain
+        if plain and self.plain <= MOST_BLOCKS or any(_is(tag, a, group) for group in ARTICLE_GROUPS):
+            text: list[str] = []
+            self.blocks.append((tag, a, text))
+            self.open.append((len(self.stack), text))
 
     def handle_endtag(self, tag):
         if tag in VOID or tag not in (t for t, _ in self.stack):
@@ -96,7 +103,7 @@ def main_text(page: str) -> str:
     p = parse(page)
     for group in ARTICLE_GROUPS:
         for tag, a, text in p.blocks:
-            if any((kind == "tag" and tag == v) or (kind != "tag" and v in a.get(kind, "").split()) for kind, v in group):
+            if _is(tag, a, group):
                 joined = "\n".join(text)
                 if len(joined) >= LEAST_TEXT:
                     return joined
