@@ -175,6 +175,29 @@ def fiscal_period(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in s], "s string").select("s", numbers.fiscal_period("s").alias("period"))
 
 
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders")
+def number_parse_prices(spark, sf_dir):
+    """Every order's price in four ways to write it."""
+    english = F.format_number("o_totalprice", 2)
+    european, plain = F.translate(english, ",.", ".,"), F.translate(english, ",", "")
+    way = F.col("o_orderkey") % 4
+    s = F.when(way == 0, english).when(way == 1, european).when(way == 2, F.translate(plain, ".", ",")).otherwise(F.translate(english, ",", " "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(numbers.parse_number(s), 2).alias("v"))
+
+
+_PERIOD = r"""CASE WHEN regexp_extract(low, '\bq([1-4])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 1) <> '' THEN 'Q' || regexp_extract(low, '\bq([1-4])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 1) || '-' || regexp_extract(low, '\bq([1-4])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 2)
+  WHEN regexp_extract(low, '\bh([12])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 1) <> '' THEN 'H' || regexp_extract(low, '\bh([12])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 1) || '-' || regexp_extract(low, '\bh([12])[\s\-/,]*(?:of\s+)?(20\d{2})\b', 2)
+  WHEN regexp_extract(low, '\b(?:fy|full[- ]year|fiscal year|hel[aå]r(?:et)?)?\s*-?(20\d{2})\b', 1) <> '' THEN 'FY' || regexp_extract(low, '\b(?:fy|full[- ]year|fiscal year|hel[aå]r(?:et)?)?\s*-?(20\d{2})\b', 1)
+  WHEN regexp_matches(low, 'full[- ]year|hel[aå]r|\bfy\b|fiscal year') THEN 'FY-UNKNOWN'
+  WHEN regexp_matches(low, '\bquarter|\bkvartal|\bhalf[- ]year|\bhalv[aå]r|\bq[1-4]\b|\bh[12]\b|\bperiod') THEN 'PERIOD-UNKNOWN' ELSE 'UNKNOWN' END"""
+
+
+@query(f"WITH {PRESS} SELECT doc_id, {_PERIOD} AS period FROM (SELECT doc_id, lower(title || ' ' || body) AS low FROM press)")
+def fiscal_period_texts(spark, sf_dir):
+    """Titles and whole texts of the feed."""
+    return press(spark, sf_dir).select("doc_id", numbers.fiscal_period(F.concat("title", F.lit(" "), "body")).alias("period"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug, len(regexp_extract_all(lower(text), '[a-z0-9åäöæøéèüïóáç\\-]+')) AS n_tokens FROM documents")
 def slug_and_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.slugify("text").alias("slug"), F.size(text.tokens("text")).cast("long").alias("n_tokens"))
