@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import text_or_empty, tokens
@@ -10,6 +10,8 @@ from tidewire.functions.text import text_or_empty, tokens
 #: Words that name no company by themselves.
 GENERIC = ("ab", "publ", "asa", "as", "oyj", "oy", "plc", "ltd", "limited", "inc", "group", "holding", "holdings", "international", "global", "nordic", "technology", "technologies", "bank", "capital", "energy", "the", "and", "of")
 THRESHOLD = 90
+#: Parts that the texts of one word are dealt over.
+SALT = 16
 
 
 def set_ratio(a: Column, b: Column) -> Column:
@@ -29,18 +31,32 @@ def set_ratio(a: Column, b: Column) -> Column:
 def mentions(texts: DataFrame, companies: DataFrame, key: str, text: str, threshold: int = THRESHOLD) -> DataFrame:
     """(key, company): companies of which a text has at least half the words, in a run as long as the name, similar enough.
 
-    The join is on the company's rarest word that is not generic, so each text word meets few companies.
+    A word of a text names the companies whose names are most completely there: one with the whole name goes before one with half.
+
+    The join is on every word of the name that is not generic, so no half of a name is missed; it carries
+    words only, frequent ones dealt over SALT parts, and each text is then looked at once for each company it met.
     """
     generic = F.array(*map(F.lit, GENERIC))
-    names = companies.select(F.col("name").alias("company"), F.array_distinct(tokens("name")).alias("words"))
-    each = names.select("company", "words", F.explode(F.array_except("words", generic)).alias("word"))
-    rare = each.groupBy("word").agg(F.count("*").alias("n")).join(each, "word")
-    block = rare.groupBy("company").agg(F.min(F.struct("n", "word")).alias("x"), F.first("words").alias("words")).select("company", "words", F.col("x.word").alias("word"))
-    positions = texts.select(F.col(key), tokens(text).alias("t")).select(key, "t", F.posexplode("t").alias("i", "word"))
-    met = positions.join(block, "word")
-    run = F.slice("t", F.greatest(F.col("i") + 1 - F.size("words") + 1, F.lit(1)), F.size("words") * 2 - 1)
-    overlap = F.size(F.array_intersect("words", run)) / F.size("words")
-    return met.where((overlap >= 0.5) & (set_ratio(F.col("words"), F.array_distinct(F.array_intersect(run, "words"))) > threshold)).select(key, "company").distinct()
+    names = companies.select(F.col("name").alias("company"), F.array_distinct(tokens("name")).alias("words")).distinct()
+    block = names.select("company", "words", F.array_except("words", generic).alias("own"))
+    dealt = block.select("*", F.explode("own").alias("word")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    each = texts.select(key, F.explode(F.array_distinct(tokens(text))).alias("word")).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+    met = each.join(dealt, ["word", "salt"]).select(key, "company", "words", "own").distinct()
+    both = met.join(texts.select(key, tokens(text).alias("t")), key)
+
+    def run(i):
+        return F.slice("t", F.greatest(i + 1 - F.size("words") + 1, F.lit(1)), F.size("words") * 2 - 1)
+
+    def overlap(i):
+        return F.size(F.array_intersect("words", run(i))) / F.size("words")
+
+    def similar(i):
+        return F.array_contains("own", F.get("t", i)) & (overlap(i) >= 0.5) & (set_ratio(F.col("words"), F.array_distinct(F.array_intersect(run(i), "words"))) > threshold)
+
+    at = F.filter(F.sequence(F.lit(0), F.size("t") - 1), similar)
+    found = both.select(key, "company", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), overlap(i).alias("share")))).alias("x")).select(key, "company", "x.*")
+    best = F.max("share").over(Window.partitionBy(key, "i"))
+    return found.withColumn("best", best).where("share = best").select(key, "company").distinct()
 
 
 def tickers(texts: DataFrame, companies: DataFrame, key: str, text: str) -> DataFrame:

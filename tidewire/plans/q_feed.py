@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import alternation, fold, hits, near
+from tidewire.functions.text import alternation, fold, hits, near, tokens
 from tidewire.operators import dedup, gates, matching, metrics, rules
 from tidewire.operators import vocabulary as V
 from tidewire.plans.press import PRESS, press
@@ -221,6 +221,16 @@ def company_mentions(spark, sf_dir):
     return matching.mentions(texts, nation.select(F.col("n_name").alias("name")), "s_suppkey", "text")
 
 
+@query()
+def company_mentions_texts(spark, sf_dir):
+    """Whole texts against the nations' names and pairs of words that texts begin with."""
+    documents = table(spark, sf_dir, "documents")
+    begin = F.slice(F.array_distinct(tokens("text")), 1, 2)
+    pairs = documents.where((F.col("doc_id") % 100 == 0) & (F.size(begin) == 2)).select(F.array_join(begin, " ").alias("name"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(pairs).distinct()
+    return matching.mentions(documents, names, "doc_id", "text")
+
+
 @query("""SELECT c_custkey, 'Acme' AS company FROM customer WHERE c_custkey % 3 = 0""")
 def ticker_mentions(spark, sf_dir):
     names = spark.createDataFrame([("ACM", "Acme"), ("BETA", "Beta")], "symbol string, name string")
