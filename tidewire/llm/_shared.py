@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +31,45 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back (column-pruned reads, known size)."""
+    """Write `df` as a table in the shared folder and read it back (column-pruned reads, known size).
+
+    The table stays until the innermost `workspace` around the call ends, without one for as long as the folder does.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    if _open_workspaces:
+        _open_workspaces[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open_workspaces: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every table that was `stored` inside: for callers that write the result out before they leave."""
+    paths: list[str] = []
+    _open_workspaces.append(paths)
+    try:
+        yield
+    finally:
+        _open_workspaces.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in the shared folder that only one computation needs; `clear` deletes them when its result is stored elsewhere."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.n, self.names = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, []
 
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,10 +77,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, *by: str) -> DataFrame:
+        """`df` as a table bucketed by columns: joins and groups on them leave it where it is."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n += 1
+        self.names.append(f"bucketed_{uuid.uuid4().hex}")
+        df.write.bucketBy(n, *by).option("path", f"{self.folder}/{self.n}").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
     def clear(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,25 +1,26 @@
 """Substring dedup with repeated-phrase automata.
 
-A window is `WINDOW` words. Word `k`-grams are hashed, and each window elects its smallest (the last
-of equals) as its anchor; equal windows elect equal anchors at equal places, so a window can only
-recur if its anchor does, and about one gram in fifteen is an anchor.
-
-1. One pass over all texts gives each text's anchors; anchors are counted with map-side combining.
-2. Texts with a recurring anchor are read again and cut into segments: the words around one
-   occurrence of the anchor and the range of windows that elected it. Segments are dealt by anchor,
-   so all occurrences of a window meet. An anchor with more than `HOT` occurrences is dealt over
-   as many shards as it needs; its recurring windows are confirmed by a distributed count first
-   and sent to each of its shards.
-3. A shard confirms the recurring windows of its segments, compiles them with pyahocorasick into an
-   automaton over word sequences (bounded batches of segments at a time) and streams the
-   segments through it; every occurrence of a confirmed window is a span to remove.
+A window is `WINDOW` words. A window recurs if its words also start at any other place.
+
+1. Confirm. Equal texts are looked at once, with their number of copies. Word `GRAM`-grams are hashed and each
+   window elects its smallest (the last of equals) as its anchor; equal windows elect equal anchors,
+   so a window can only recur if its anchor does. Anchors are counted, then the windows that elected
+   a recurring one (by 96 bits of hash). Both counts combine before they shuffle, so no phrase is hot.
+2. Compile. Of each recurring window one occurrence represents it: the text with the smallest key
+   that holds it, so neighbours mostly have the same one. Runs of such windows are the confirmed passages. They are dealt to
+   shards by the place they were taken from, `SHARD` windows each on average, and a task compiles a
+   shard's passages with pyahocorasick: one pattern for each window, one symbol for each word.
+3. Stream. Every stretch of a text in which a window recurs is sent to the shards that hold one of its windows' passages,
+   and streamed through the automaton there; what it locates are the spans to remove. A stretch is
+   cut at cells of `CELL` window starts, and a shard that many cells ask for is copied for every
+   `HOT` of them, so a copy costs no more than the cells that it serves.
 4. Spans are gathered per text, and the covered words are removed.
 
-Hashes only select; what is removed was compared word by word.
+Hashes only select what is compiled and where it is sought; the automata compare words.
 
 Cases: null and word-less texts have no words; repeated rows count as occurrences of each other's
-windows; texts under 35 words have no window and are kept; texts of any id, null too, are told
-apart by id and a hash of the text; other columns are ignored or kept.
+windows; texts under `window` words have no window and are kept; no documents give no rows; texts are told apart by 128 bits of
+hash, whatever their id; other columns, whatever their names, are ignored or kept.
 """
 
 from __future__ import annotations
@@ -29,18 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
 from tidewire.llm._shared import Scratch, fresh, stored
 
 WINDOW = 35
-GRAM = 8
-#: Occurrences of an anchor from which it is dealt over several shards.
-HOT = 2000
-#: Segments that one automaton is compiled for (and at least one anchor's in a shard).
-BATCH = 2000
+GRAM = 16
+#: Window starts of a cell, the unit in which texts are sent to shards (bits of a long).
+CELL = 64
+#: Recurring windows that an automaton is compiled for, on average.
+SHARD = 4096
+#: log2 of the window starts of a text whose passages stay together.
+TOGETHER = 12
+#: Cells that are streamed through one copy of a shard.
+HOT = 4096
+
+KEY = ["key", "twin"]
 
 
 def _elected(hashes: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,163 +75,205 @@ def _elected(hashes: np.ndarray, off: np.ndarray, window: int, gram: int) -> tup
     return starts, np.where(at < starts, at + size, at), grams
 
 
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Values in order of their owners (0 to n - 1) as one list for each."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
 def _anchors(window: int, gram: int):
+    """Texts -> their number of words, the digest of all words, and the anchors with their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, firsts, counts, digests = [], [], [], []
+            lists, places, counts, digests = [], [], [], []
             for s in T.slices(batch.column("text")):
                 w = T.words(s.data, s.offsets)
-                starts, at, grams = _elected(T.span_hashes(s.data, w.starts, w.ends), w.off, window, gram)
+                _, at, grams = _elected(T.span_hashes(s.data, w.starts, w.ends), w.off, window, gram)
                 at = np.unique(at)
-                own = np.searchsorted(at, w.off)
-                hashes = grams[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
                 owner = np.searchsorted(w.off, at, side="right") - 1
-                place = (at - w.off[owner]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
-                lists.append(pa.ListArray.from_arrays(own.astype(np.int32), pa.array(hashes)))
-                firsts.append(pa.ListArray.from_arrays(own.astype(np.int32), pa.array(place)))
+                lists.append(_lists(grams[at].view(np.int64), owner, len(s)))
+                places.append(_lists((at - w.off[owner]).astype(np.int32), owner, len(s)))
                 counts.append(w.counts)
                 digests += [hashlib.sha256(b" ".join(s.raw(i).split())).hexdigest() for i in range(len(s))]
             if counts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(counts)), pa.array(digests), pa.concat_arrays(lists), pa.concat_arrays(firsts)],
-                    names=["doc_id", "key", "n_words", "whole", "anchors", "places"],
+                    [*(batch.column(c) for c in (*KEY, "copies")), pa.array(np.concatenate(counts)), pa.array(digests), pa.concat_arrays(lists), pa.concat_arrays(places)],
+                    names=[*KEY, "copies", "n_words", "whole", "anchors", "places"],
                 )
 
     return run
 
 
-def _segments(window: int, gram: int):
-    """Texts with the places of their recurring anchors -> one segment for each."""
-    columns = ["anchor", "doc_id", "key", "begin", "words"]
+def _windows(window: int, gram: int):
+    """Texts with the places of their recurring anchors -> one row for each window that elected one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, doc_ids, keys = (batch.column(c).to_pylist() for c in ("places", "doc_id", "key"))
-            out: dict[str, list] = {c: [] for c in columns}
+            carried = [batch.column(c).to_numpy() for c in (*KEY, "copies")]
+            places = batch.column("places")
+            ends, flat = np.cumsum(places.value_lengths().to_numpy()), places.flatten().to_numpy()
             for s in T.slices(batch.column("text")):
                 w = T.words(s.data, s.offsets)
-                starts, at, grams = _elected(T.span_hashes(s.data, w.starts, w.ends), w.off, window, gram)
-                first_of = np.searchsorted(at, np.arange(len(grams) + 1))  # windows are in order of what they elect
-                for i in range(len(s)):
-                    zero = int(w.off[i])
-                    g = np.array(sorted(set(places[s.first + i])), np.int64) + zero
-                    lo, hi = first_of[g], first_of[g + 1]
-                    g, lo, hi = g[lo < hi], lo[lo < hi], hi[lo < hi]
-                    if not len(g):
-                        continue
-                    text = b" ".join(s.raw(i).split())
-                    size = w.ends[zero : w.off[i + 1]] - w.starts[zero : w.off[i + 1]]
-                    place = np.concatenate([[0], np.cumsum(size + 1)])  # of each word in the text joined by one space
-                    begin, end = starts[lo] - zero, starts[hi - 1] - zero + window
-                    out["words"] += [text[a : b - 1] for a, b in zip(place[begin].tolist(), place[end].tolist())]
-                    out["anchor"] += grams[g].view(np.int64).tolist()
-                    out["begin"] += begin.tolist()
-                    out["doc_id"] += [doc_ids[s.first + i]] * len(g)
-                    out["key"] += [keys[s.first + i]] * len(g)
-            kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.string()]
-            arrays = [pa.array(out[c], pa.binary()).cast(pa.string()) if c == "words" else pa.array(out[c], k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                hashes = T.span_hashes(s.data, w.starts, w.ends)
+                starts, at, grams = _elected(hashes, w.off, window, gram)
+                own = slice(int(ends[s.first - 1]) if s.first else 0, int(ends[s.last - 1]))
+                text = np.searchsorted(ends, np.arange(own.start, own.stop), side="right") - s.first
+                recurring = np.zeros(len(grams) + 1, bool)
+                recurring[w.off[text] + flat[own]] = True
+                starts = starts[recurring[at]]
+                whole, check = T.gram_hashes(hashes, window)[starts], T.gram_hashes(T.mix(hashes), window)[starts]
+                owner = np.searchsorted(w.off, starts, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[s.first + owner]) for x in carried), pa.array((starts - w.off[owner]).astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32))],
+                    names=[*KEY, "copies", "start", "hash", "check"],
+                )
 
     return run
 
 
-def _locate(window: int):
-    """A shard, in order of (anchor, salt, confirmed windows first): spans of all occurrences of recurring windows."""
+def _runs(positions: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of each run of consecutive integers of a sorted array."""
+    if len(positions):
+        cuts = np.flatnonzero(np.diff(positions) != 1) + 1
+        yield from zip(positions[np.concatenate([[0], cuts])].tolist(), positions[np.concatenate([cuts - 1, [-1]])].tolist())
+
+
+def _pieces(window: int):
+    """Texts with their cells -> what they send to shards: passages (to every copy) and stretches to search (to one copy)."""
+    columns = ["shard", "salt", "stretch", *KEY, "begin", "words"]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def of(text: str, cells: list[dict]) -> Iterator[tuple]:
+        w = text.encode().split()
+        asked: dict[tuple[int, int], list[int]] = {}
+        confirmed: dict[tuple[int, int], list[np.ndarray]] = {}
+        for c in sorted(cells, key=lambda c: c["cell"]):
+            asked.setdefault((c["shard"], c["salt"]), []).append(c["cell"])
+            if c["own"]:
+                bits = np.unpackbits(np.array([c["own"]], "<i8").view(np.uint8), bitorder="little")
+                confirmed.setdefault((c["shard"], c["salts"]), []).append(np.flatnonzero(bits) + c["cell"] * CELL)
+        for (shard, salts), starts in confirmed.items():
+            for a, b in _runs(np.concatenate(starts)):
+                for salt in range(salts):
+                    yield shard, salt, False, a, b" ".join(w[a : b + window])
+        for (shard, salt), of_copy in asked.items():
+            for a, b in _runs(np.array(of_copy)):
+                yield shard, salt, True, a * CELL, b" ".join(w[a * CELL : (b + 1) * CELL + window - 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for key, twin, text, cells in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "cells"))):
+                for shard, salt, stretch, begin, words in of(text, cells):
+                    rows.append((shard, salt, stretch, key, twin, begin, words))
+                    size += len(words)
+                    if size > T.SLICE_BYTES:
+                        yield _batch(rows, columns, kinds)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows, columns, kinds)
+
+    return run
+
+
+def _batch(rows: list[tuple], columns: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    of = list(zip(*rows)) or [[] for _ in columns]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).cast(k) if k == pa.string() else pa.array(x, k) for x, k in zip(of, kinds)], names=columns)
 
-    def spans(groups: list[tuple[list, list]]) -> Iterator[tuple]:
+
+class PassageAutomaton:
+    """An Aho-Corasick automaton of all windows of some passages, each word a symbol."""
+
+    def __init__(self, window: int):
         import ahocorasick
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        ids: dict[str, int] = {}
-        coded: list[tuple[tuple[int, ...], list[tuple]]] = []
-        for confirmed, segments in groups:
-            places: dict[str, list[tuple]] = {}  # equal segments are looked at once
-            for *place, words in segments:
-                places.setdefault(words, []).append(place)
-            seen: dict[tuple[int, ...], int] = {}
-            for words, own in places.items():
-                q = tuple([ids.setdefault(x, len(ids) + 1) for x in words.split(" ")])
-                coded.append((q, own))
-                for i in range(len(q) - window + 1):
-                    x = q[i : i + window]
-                    seen[x] = seen.get(x, 0) + len(own)
-            for q, n in seen.items():
-                if n > 1:
-                    automaton.add_word(q, window)
-            for words in confirmed:
-                q = tuple([ids.setdefault(x, len(ids) + 1) for x in words.split(" ")])
-                if q in seen:
-                    automaton.add_word(q, window)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
-        for q, own in coded:
-            runs: list[list[int]] = []
-            for last, length in automaton.iter(q):
-                a, b = last - length + 1, last + 1
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = b
-                else:
-                    runs.append([a, b])
-            for doc_id, key, begin in own:
-                for a, b in runs:
-                    yield doc_id, key, begin + a, begin + b
+        self.window, self.symbols, self.automaton, self.made = window, {}, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+
+    def _symbol(self, word: str) -> str:
+        n = len(self.symbols) + 1
+        return self.symbols.setdefault(word, chr(n if n < 0xD800 else n + 0x800))  # code points, but for the surrogates
+
+    def add(self, passage: str) -> None:
+        said = "".join(map(self._symbol, passage.split(" ")))
+        for i in range(len(said) - self.window + 1):
+            self.automaton.add_word(said[i : i + self.window])
+
+    def spans(self, words: str) -> list[list[int]]:
+        """What occurrences of windows cover, as (begin, end) runs."""
+        if not len(self.automaton):
+            return []
+        if not self.made:
+            self.automaton.make_automaton()
+            self.made = True
+        out: list[list[int]] = []
+        for last, length in self.automaton.iter("".join([self.symbols.get(x, "\0") for x in words.split(" ")])):
+            a, b = last - length + 1, last + 1
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
-        group, groups, size = None, [], 0
 
-        def flush():
-            rows = list(zip(*spans(groups))) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], kind), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())], names=["doc_id", "key", "begin", "end"])
+def _locate(window: int):
+    """Shards, each with its passages first: the spans that occurrences cover in the stretches."""
+    columns = [*KEY, "begin", "end"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, automaton = None, None
         for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            for anchor, salt, proof, doc_id, key, begin, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "salt", "proof", "doc_id", "key", "begin", "words"))):
-                if (anchor, salt) != group:
-                    if size >= BATCH:
-                        yield flush()
-                        groups, size = [], 0
-                    group = anchor, salt
-                    groups.append(([], []))
-                groups[-1][0].append(words) if proof else groups[-1][1].append((doc_id, key, begin, words))
-                size += 1
-        if groups:
-            yield flush()
+            rows = []
+            for *of, stretch, key, twin, begin, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "stretch", *KEY, "begin", "words"))):
+                if of != shard:
+                    shard, automaton = of, PassageAutomaton(window)
+                if stretch:
+                    rows += [(key, twin, begin + a, begin + b) for a, b in automaton.spans(words)]
+                else:
+                    automaton.add(words)
+            yield _batch(rows, columns, kinds)
 
     return run
 
 
-def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Of every text (doc_id, key, n_words, whole: digest of all words), and of texts with repeats (d, k, spans of words)."""
+def _keyed(documents: DataFrame) -> tuple[DataFrame, Column, Column]:
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
-    kind = dict(documents.dtypes)["doc_id"]
-    seen = stored(docs.mapInArrow(_anchors(window, gram), f"doc_id {kind}, key long, n_words long, whole string, anchors array<long>, places array<int>"))
-    each = seen.select("doc_id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "key", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    scratch = Scratch(documents.sparkSession)
-    recurring = scratch.store(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    places = each.join(recurring.select("anchor"), "anchor").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("place").alias("places"))
-    again = docs.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", F.sort_array("places").alias("places"))
-    segments = again.mapInArrow(_segments(window, gram), f"anchor long, doc_id {kind}, key long, begin int, words string")
-    salts = F.ceil(F.col("n") / HOT).cast("int")
-    hot = recurring.where(F.col("n") > HOT).select("anchor", salts.alias("salts"))
-    dealt = scratch.store(segments.join(hot, "anchor", "left"))
-    # equal segments are counted before they are taken apart
-    equal = dealt.where("salts is not null").groupBy("anchor", "salts", "words").agg(F.count("*").alias("n"))
-    windows = equal.select("anchor", "salts", "n", F.split("words", " ").alias("w"))
-    windows = windows.select("anchor", "salts", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.array_join(F.slice("w", i, window), " "))).alias("words"))
-    confirmed = windows.groupBy("anchor", "words").agg(F.sum("n").alias("n"), F.first("salts").alias("salts")).where("n > 1")
-    none = [F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("begin")]
-    proofs = confirmed.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("proof"), *none, "words")
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")), F.lit(0)).cast("int")
-    rows = dealt.select("anchor", salt.alias("salt"), F.lit(False).alias("proof"), "doc_id", "key", "begin", "words").unionByName(proofs)
-    shards = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("proof").desc())
-    spans = shards.mapInArrow(_locate(window), f"doc_id {kind}, key long, begin int, end int")
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    spans = stored(spans)
-    scratch.clear()
-    return seen.select("doc_id", "key", "n_words", "whole"), spans
+    return text, F.xxhash64(text), F.xxhash64(text, F.lit("twin"))
+
+
+def _routes(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each text with a recurring window: its cells, the shards (with their copies) that they meet and the windows that they give them."""
+    # where a window stands: 40 bits of its text's key and 24 of its start; a clash only puts two texts' passages together
+    place = F.shiftleft(F.shiftright("key", 24), 24).bitwiseOR(F.col("start").cast("long").bitwiseAND(F.lit((1 << 24) - 1)))
+    counted = windows.groupBy("hash", "check").agg(F.sum("copies").alias("n"), F.min(place).alias("first"))
+    recurring = scratch.store(counted.where("n > 1").select("hash", "check", "first"))
+    shards = recurring.count() // SHARD + 1
+    shard = F.pmod(F.xxhash64(F.shiftright("first", TOGETHER)), F.lit(shards)).alias("shard")
+    own = F.when(place == F.col("first"), F.expr(f"shiftleft(1L, start % {CELL})")).otherwise(F.lit(0).cast("long"))
+    met = windows.join(recurring, ["hash", "check"]).select(*KEY, shard, F.floor(F.col("start") / CELL).cast("int").alias("cell"), own.alias("own"))
+    cells = scratch.store(met.groupBy(*KEY, "shard", "cell").agg(F.bit_or("own").alias("own")))
+    hot = cells.groupBy("shard").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*KEY, F.floor(F.col("cell") / CELL)), salts).cast("int")
+    dealt = cells.join(hot, "shard", "left").select(*KEY, F.struct("shard", "cell", "own", salts.alias("salts"), salt.alias("salt")).alias("c"))
+    return dealt.groupBy(*KEY).agg(F.collect_list("c").alias("cells"))
+
+
+def _located(documents: DataFrame, scratch: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct texts (key, twin, text, copies), what is known of each (n_words, whole: digest of all words), and spans of words to remove."""
+    text, key, twin = _keyed(documents)
+    texts = documents.select(key.alias("key"), twin.alias("twin"), text.alias("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = scratch.bucketed(texts, *KEY)
+    seen = stored(texts.mapInArrow(_anchors(window, gram), "key long, twin long, copies long, n_words long, whole string, anchors array<long>, places array<int>"))
+    each = seen.where(F.size("anchors") > 0).select(*KEY, "copies", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select(*KEY, "copies", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+    recurring = scratch.store(each.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"))
+    places = each.join(recurring, "anchor").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+    windows = scratch.store(texts.join(places, KEY).mapInArrow(_windows(window, gram), "key long, twin long, copies long, start int, hash long, check int"))
+    pieces = texts.join(_routes(windows, scratch), KEY).mapInArrow(_pieces(window), "shard long, salt int, stretch boolean, key long, twin long, begin int, words string")
+    shards = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "stretch")
+    spans = shards.mapInArrow(_locate(window), "key long, twin long, begin int, end int").groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return texts, seen, spans
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +287,32 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 drop[s["begin"] : s["end"]] = True
             removed.append(int(drop.sum()))
             kept.append(b" ".join(x for x, gone in zip(w, drop.tolist()) if not gone).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["d", "k", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*KEY, "n_removed", "kept"])
 
 
-def _kept_texts(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """(d, k, n_removed, kept) of the texts that lose words, once for each id and text."""
-    kind = dict(documents.dtypes)["doc_id"]
-    text = documents.select(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    lost = spans.join(text, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("d", "k", "text", "spans")
-    return lost.mapInArrow(_removed, f"d {kind}, k long, n_removed long, kept string")
+def _shortened(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, twin, n_removed, kept) of the texts that lose words."""
+    return texts.join(spans, KEY).select(*KEY, "text", "spans").mapInArrow(_removed, "key long, twin long, n_removed long, kept string")
 
 
-def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def digests(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    every, spans = repeated_spans(documents, window)
-    lost = _kept_texts(documents, spans).select("d", "k", "n_removed", F.sha2("kept", 256).alias("kept")).groupBy("d", "k").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-    joined = every.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    scratch = Scratch(documents.sparkSession)
+    texts, seen, spans = _located(documents, scratch, window, gram)
+    lost = stored(_shortened(texts, spans).select(*KEY, "n_removed", F.sha2("kept", 256).alias("kept")))
+    scratch.clear()
+    each = seen.select(*KEY, "n_words", "whole").join(lost, KEY, "left").select(*KEY, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    _, key, twin = _keyed(documents)
+    return documents.select("doc_id", key.alias("key"), twin.alias("twin")).join(each, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents (all columns); texts that repeat lose the covered words, others stay as they are."""
-    d, k, kept = fresh(documents, "d", "k", "kept")
-    _, spans = repeated_spans(documents, window)
-    lost = _kept_texts(documents, spans).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.first("kept").alias(kept))
-    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(k)), "left")
+    scratch = Scratch(documents.sparkSession)
+    texts, _, spans = _located(documents, scratch, window, gram)
+    k, t, kept = fresh(documents, *KEY, "kept")
+    lost = stored(_shortened(texts, spans).select(F.col("key").alias(k), F.col("twin").alias(t), F.col("kept").alias(kept)))
+    scratch.clear()
+    _, key, twin = _keyed(documents)
+    joined = documents.join(lost, (key == F.col(k)) & (twin == F.col(t)), "left")
     return joined.withColumn("text", F.coalesce(kept, "text")).select(*(F.col(f"`{c}`") for c in documents.columns))
