@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +95,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running(values: Column, join: Callable[[Column, Column], Column] | None = None, back: bool = False) -> Column:
+    """Running sums of an array (or what `join` makes of an element and those before it, null where there is none; `back`: after it).
+
+    In each of log2(n) steps every element takes in the one 1, 2, 4, ... places away, so the work is n log n and nothing is
+    carried from element to element.
+    """
+    join = join or (lambda x, y: x + F.coalesce(y, F.lit(0).cast("long")))
+    n = F.size(values)
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.length(F.bin(n - 1)) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(a, k):
+        far = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(a, lambda x, i: join(x, F.get(a, i + far if back else i - far)))
+
+    return F.aggregate(steps, values, step)
+
+
+#: Code points of a chunk.
+CHUNK = 4096
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of CHUNK code points, so that `between` need not count from its beginning."""
+    return F.when(F.length(text) > CHUNK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(text))
+
+
+def between(pieces: Column, begin: Column, end: Column) -> Column:
+    """Code points `begin` to `end` of the text that `chunks` took apart."""
+    a, b = (F.floor(x / CHUNK).cast("int") for x in (begin, end))
+
+    def part(i, first, size):
+        return F.coalesce(F.substring(F.get(pieces, i), first.cast("int"), size.cast("int")), F.lit(""))
+
+    inside = part(a, begin - a * CHUNK + 1, end - begin)
+    across = F.concat(part(a, begin - a * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), part(b, F.lit(1), end - b * CHUNK))
+    return F.when(begin >= end, F.lit("")).when(a == b, inside).otherwise(across)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
