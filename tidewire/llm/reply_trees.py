@@ -13,8 +13,9 @@ text span in the output (code points) carries whether it is under the loss mask.
 
 Cases: null roles and texts count as empty; rows without turn come last in their conversation, equal
 turns are ordered by role and text and repeated rows are turns of their own; a null conversation id
-is a conversation; a parent that does not exist makes a root; no messages give no rows; other columns
-are ignored. A formatted conversation is one string, as the format demands.
+is a conversation; a parent that does not exist makes a root; no messages give no rows; ids may be of any type; other columns,
+whatever their names, are ignored. A formatted conversation is one string, as the format demands; its turns' offsets are running sums in
+log-many steps, so a conversation of n turns takes n log n.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm._shared import cut, stored
+from tidewire.llm._shared import cut, running, stored
 
 #: The template's marks, and where the control strings of templates begin.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -52,7 +53,8 @@ def chains(messages: DataFrame) -> DataFrame:
 
 
 def _key(conv: Column, node: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(conv.cast("string"), F.lit("null")), node.cast("string"))
+    """A message's id over all conversations; both parts are compared as they are, null ones too."""
+    return F.struct(conv.alias("conv"), node.alias("node"))
 
 
 def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
@@ -61,7 +63,8 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     A path's rank is its mean score; ties go to the longer, then to the smaller leaf. Messages on a
     cycle have no root and are on no path.
     """
-    me = tree.select("conv_id", _key(F.col("conv_id"), F.col("node")).alias("id"), "node", _key(F.col("conv_id"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.col("parent").isNotNull().alias("has"))
+    parent = F.col("parent").cast(tree.schema["node"].dataType)
+    me = tree.select("conv_id", _key(F.col("conv_id"), F.col("node")).alias("id"), "node", _key(F.col("conv_id"), parent).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.col("parent").isNotNull().alias("has"))
     known = me.select(F.col("id").alias("up"))
     up = F.when(F.col("has"), F.col("up"))
     step = cut(me.select("conv_id", "id", "node", up.alias("up"), "total").join(known.withColumn("there", F.lit(True)), "up", "left").select("conv_id", "id", "node", F.when(F.col("there"), F.col("up")).alias("up"), "total", F.lit(1).cast("long").alias("depth")))
@@ -92,10 +95,9 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escape(text), F.lit(END))
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array of (before, inside, after) lengths, as (begin, end) of the insides."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:long,end:long>>").alias("out"))
-    return F.aggregate(lengths, zero, lambda a, x: F.struct((a.at + x.before + x.inside + x.after).alias("at"), F.concat(a.out, F.array(F.struct((a.at + x.before).alias("begin"), (a.at + x.before + x.inside).alias("end")))).alias("out")), lambda a: a.out)
+def _spans(size: Column, inside: Column) -> Column:
+    """(begin, end) of each turn's text in the whole string, from the turns' lengths and the lengths of their texts."""
+    return F.zip_with(running(size), inside, lambda end, n: F.struct((end - len(END) - n).alias("begin"), (end - len(END)).alias("end")))
 
 
 def formatted(tree: DataFrame, top: int = 1, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -106,8 +108,8 @@ def formatted(tree: DataFrame, top: int = 1, learn_from: tuple[str, ...] = ("ass
     rows = paths.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
     said = F.struct("depth", _turn(F.col("role"), F.col("text")).alias("said"), F.length(escape(F.col("text"))).cast("long").alias("inside"), F.col("role").isin(*learn_from).alias("learn"))
     turns = rows.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list(said)).alias("t"))
-    lengths = F.transform("t", lambda x: F.struct((F.length(x.said) - x.inside - len(END)).cast("long").alias("before"), x.inside.alias("inside"), F.lit(len(END)).cast("long").alias("after")))
-    spans = F.zip_with(_running(lengths), F.col("t"), lambda s, x: F.struct(s.begin.alias("begin"), s.end.alias("end"), x.learn.alias("learn")))
+    size, inside = F.transform("t", lambda x: F.length(x.said).cast("long")), F.transform("t", lambda x: x.inside)
+    spans = F.zip_with(_spans(size, inside), F.col("t"), lambda s, x: F.struct(s.begin.alias("begin"), s.end.alias("end"), x.learn.alias("learn")))
     return turns.select("conv_id", "branch", F.array_join(F.transform("t", lambda x: x.said), "").alias("formatted"), spans.alias("turns"))
 
 
@@ -119,8 +121,8 @@ def read_back(formatted_rows: DataFrame) -> DataFrame:
     pieces = F.transform(F.slice(F.split("formatted", r"<\|im_end\|>\n", -1), 1, F.size("turns")), lambda p: F.substr(p, F.lit(len(START) + 1)))
     split = F.transform(pieces, lambda p: F.struct(F.substring_index(p, "\n", 1).alias("role"), F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2).alias("text")))
     rows = formatted_rows.withColumn("said", split)
-    lengths = F.transform("said", lambda x: F.struct((F.length(x.role) + len(START) + 1).cast("long").alias("before"), F.length(x.text).cast("long").alias("inside"), F.lit(len(END)).cast("long").alias("after")))
-    rows = rows.withColumn("spans", _running(lengths))
+    size = F.transform("said", lambda x: (F.length(x.role) + F.length(x.text) + len(START) + 1 + len(END)).cast("long"))
+    rows = rows.withColumn("spans", _spans(size, F.transform("said", lambda x: F.length(x.text).cast("long"))))
     learnt = F.filter(F.arrays_zip("said", "spans", "turns"), lambda x: x.turns.learn & (x.turns.begin == x.spans.begin) & (x.turns.end == x.spans.end))
     return rows.select(
         "conv_id", "branch", "formatted",
