@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import corpus, empty, frame, low, words
 from tests.oracle import assert_same, rows as as_rows
-from tidewire.llm import fixity, mixing, phrase_automata, queries, reply_trees, simhash
+from tidewire.llm import fixity, mixing, phrase_automata, queries, reply_trees, rule_ensemble, simhash
+from tidewire.llm._shared import Scratch
 from tidewire.operators.graph import components
 
 
@@ -127,6 +129,24 @@ def test_one_of_each_counts_a_repeated_line_once(spark):
     assert _kept_ids(spark, [a for a, _ in texts] + [b for _, b in texts]) == set(range(20))
 
 
+def test_one_of_each_in_a_crowd(spark, monkeypatch):
+    """One text edited many times over, with edits that coincide: bounds must leave no similar pair out."""
+    r = random.Random(15)
+    base, texts = _drawn(r, 120), []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(r.randrange(8)):
+            w[r.randrange(0, 120, 6)] = r.choice("xyz")
+        texts.append(" ".join(w[: r.randrange(90, 121)]))
+    texts = sorted(set(texts), key=lambda t: r.random())
+    expected = _one_of_each_by_force(texts)
+    assert 10 < len(expected) < len(texts) - 20
+    for crowd, few in ((3, 1), (3, 4), (64, 8)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert _kept_ids(spark, texts) == expected
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     out = {r.a: r.b for r in components(links).collect()}
@@ -149,14 +169,40 @@ def test_repeats(spark, monkeypatch):
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     docs = frame(spark, rows)
     assert Counter(tuple(r[c] for c in columns) for r in phrase_automata.digests(docs).collect()) == expected
-    monkeypatch.setattr(phrase_automata, "HOT", 2)
-    monkeypatch.setattr(phrase_automata, "BATCH", 3)
+    for name, value in (("HOT", 2), ("SHARD", 3), ("TOGETHER", 2)):
+        monkeypatch.setattr(phrase_automata, name, value)
     assert Counter(tuple(r[c] for c in columns) for r in phrase_automata.digests(docs).collect()) == expected
     assert phrase_automata.digests(empty(spark)).count() == 0
     cleaned = {r.doc_id: r.text for r in phrase_automata.without_repeats(docs).collect()}
     assert all(hashlib.sha256(" ".join(words(cleaned[i])).encode()).hexdigest() == h for i, _, _, h in expected)
 
 
+def _around_one_phrase(n):
+    """Pairs of texts with equal surroundings, other ones for each pair, of one common phrase."""
+    r = random.Random(16)
+    phrase = " ".join(_drawn(r, 18))
+    return [(2 * i + j, f"{a} {phrase} {b}") for i in range(n) for a, b in [(" ".join(_drawn(r, 30)), " ".join(_drawn(r, 30)))] for j in (0, 1)]
+
+
+def test_repeats_around_a_hot_phrase_grow_with_the_input(spark, monkeypatch):
+    """Windows that all elect one anchor: what is sent to shards doubles with the texts, and the result is whole."""
+    monkeypatch.setattr(phrase_automata, "HOT", 16)
+    monkeypatch.setattr(phrase_automata, "SHARD", 64)
+    sent = []
+    for n in (50, 100, 200):
+        rows = _around_one_phrase(n)
+        scratch = Scratch(spark)
+        docs = spark.createDataFrame([(i, t, 0, 1, 1) for i, t in rows], "doc_id long, text string, key long, twin long, copies long")
+        texts = docs.select("text", F.xxhash64("text").alias("key"), F.lit(0).cast("long").alias("twin"), F.lit(1).cast("long").alias("copies"), F.sequence(F.lit(0), F.lit(62)).alias("places"))
+        windows = texts.mapInArrow(phrase_automata._windows(35, 16), "key long, twin long, copies long, start int, hash long, check int")
+        cells = phrase_automata._routes(scratch.store(windows), scratch)
+        pieces = cells.join(texts, ["key", "twin"]).mapInArrow(phrase_automata._pieces(35), "shard long, salt int, stretch boolean, key long, twin long, begin int, words string")
+        sent.append(pieces.agg(F.sum(F.length("words"))).first()[0])
+        scratch.clear()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrase_automata.digests(docs).collect()) == Counter(_kept(rows))
+    assert sent[1] < 2.5 * sent[0] and sent[2] < 2.5 * sent[1]
+
+
 def test_mixing(spark, sf_dir):
     rows = [(i, t) for i, t in corpus(8, 200)]
     docs = frame(spark, rows)
@@ -210,6 +256,56 @@ def test_reply_tree_branches_by_score(spark):
     assert by == {1: [1, 3, 4], 2: [1, 2]}  # means 10/3 and 5/2; a parent that does not exist makes a root of its own; a cycle has no root
 
 
+def _kept_by_hand(rows, benchmark):
+    """What near_duplicates and then benchmark keep of (doc_id, text) rows."""
+    texts = {}
+    for i, t in rows:
+        texts[t or ""] = min(i, texts.get(t or "", i))
+    of = sorted(texts)
+    root = _roots(len(of), [(i, j) for i in range(len(of)) for j in range(i) if _near(of[i], of[j])])
+    least = {}
+    for t, k in zip(of, root):
+        least[k] = min((texts[t], t), least.get(k, (texts[t], t)))
+    token = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = {tuple(w[j : j + 10]) for w in map(token, benchmark) for j in range(max(len(w) - 9, min(len(w), 1)))}
+    hit = lambda t: any(tuple(token(t)[j : j + len(p)]) == p for p in windows for j in range(len(token(t))))
+    return {i for i, _ in least.values()}, {i for i, t in least.values() if not hit(t)}
+
+
+def _near(x, y):
+    a, b = ({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if (w := low(t).split()) else set() for t in (x, y))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_pipeline_stages_one_by_one(spark, tmp_path):
+    """Each stage against what it must do, on rows with nulls, empty and long texts, repeated rows, clashing and further columns."""
+    import corpus_pipeline as p
+
+    rows = corpus(9, 40) + [(500, "call me at a@b.cd or 10.0.0.1 now"), (501, "call me at a@b.cd or 10.0.0.1 now"), (502, "x " * 30000)]
+    items = [(1, " ".join(words(rows[0][1])[:15])), (2, "word w1"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, int(len(t or "") > 40), 0) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = frame(spark, rows)
+    stage = dict(p.STAGES)
+    good = stage["quality"](spark, docs, str(tmp_path))
+    scores = {r.doc_id: r.score for r in rule_ensemble.scores(docs, rule_ensemble.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))).collect()}
+    assert Counter(r.doc_id for r in good.collect()) == Counter(i for i, _ in rows if scores[i] >= 0.3)
+    once, clean = _kept_by_hand(rows, [t for _, t in items])
+    alone = stage["near_duplicates"](spark, docs, str(tmp_path))
+    assert Counter(r.doc_id for r in alone.collect()) == Counter(once)
+    left = stage["benchmark"](spark, alone, str(tmp_path))
+    assert Counter(r.doc_id for r in left.collect()) == Counter(clean) and 0 < len(clean) < len(once)
+    private = {r.doc_id: r.text for r in stage["personal_data"](spark, docs, str(tmp_path)).collect()}
+    assert private[500] == "call me at <EMAIL> or <IP> now" and private[40] is None and private[1] == dict(rows)[1]
+    mixed = stage["mixture"](spark, docs, str(tmp_path)).collect()
+    assert all(r.copies > 0 and r.taken == r.copies * r._size == r.copies * len(words(r.text)) and r.size == "x" for r in mixed)
+    assert {r.doc_id for r in mixed} <= {i for i, t in rows if words(t)}
+    none = empty(spark)
+    for name, f in p.STAGES:
+        out = f(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "mixture" or out.columns == none.columns)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
@@ -217,9 +313,13 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "benchmark", "personal_data", "mixture"]
     ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
     out = p.run(spark, sf_dir)
+    # the same stages, each on what its predecessor kept, held in memory
+    by_hand = docs
+    for _, stage in p.STAGES:
+        made = stage(spark, by_hand, sf_dir)
+        by_hand = spark.createDataFrame(made.collect(), made.schema)
+    assert Counter(out.collect()) == Counter(by_hand.collect())
     assert not Counter(r.doc_id for r in out.select("doc_id").collect()) - ids and out.count() > 0
-    for _, stage in p.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns
     left = " ".join(r.text for r in out.select("text").collect())
     assert "@mail" not in left
 

@@ -35,28 +35,33 @@ def stored(df: DataFrame) -> DataFrame:
 
     The table stays until the innermost `workspace` around the call ends, without one for as long as the folder does.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    return _kept(df.sparkSession).store(df)
+
+
+def bucketed(df: DataFrame, *by: str) -> DataFrame:
+    """`df` stored as a table bucketed by columns, for as long as a `stored` one: joins and groups on them leave it where it is."""
+    return _kept(df.sparkSession).bucketed(df, *by)
+
+
+def _kept(spark: SparkSession) -> Scratch:
+    scratch = Scratch(spark)
     if _open_workspaces:
-        _open_workspaces[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        _open_workspaces[-1].append(scratch)
+    return scratch
 
 
-_open_workspaces: list[list[str]] = []
+_open_workspaces: list[list[Scratch]] = []
 
 
 @contextmanager
-def workspace(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, every table that was `stored` inside: for callers that write the result out before they leave."""
-    paths: list[str] = []
-    _open_workspaces.append(paths)
+def workspace() -> Iterator[None]:
+    """Deletes, at its end, every table that was `stored` or `bucketed` inside: for callers that write the result out before they leave."""
+    _open_workspaces.append([])
     try:
         yield
     finally:
-        _open_workspaces.remove(paths)
-        for path in paths:
-            delete(spark, path)
+        for scratch in _open_workspaces.pop():
+            scratch.clear()
 
 
 def delete(spark: SparkSession, folder: str) -> None:
@@ -78,7 +83,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, *by: str) -> DataFrame:
-        """`df` as a table bucketed by columns: joins and groups on them leave it where it is."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.n += 1
         self.names.append(f"bucketed_{uuid.uuid4().hex}")

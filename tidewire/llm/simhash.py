@@ -14,7 +14,6 @@ doc_id keep their fingerprint and are never the smallest id; other columns are i
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
-from tidewire.llm._shared import Scratch, fresh, shared_folder, stored
+from tidewire.llm._shared import Scratch, bucketed, fresh, stored
 from tidewire.operators.graph import components
 
 SEED = 42
@@ -115,7 +114,9 @@ BANDS = 32
 ROWS = 6
 SIMILARITY = 0.8
 #: From one round to the next, so many times more texts of a value are compared with all others of it.
-MORE_LEADERS = 8
+MORE_LEADERS = 16
+#: Texts from which a value is crowded, and the owners up to which a shingle there is listed rather than counted as common to all.
+CROWD, FEW = 64, 8
 
 
 def _set_hashes(s: T.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,72 +169,111 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
+def _can_reach(similarity: float, common, size, other=0) -> Column:
+    """Whether sets of so many members, at most `common` of them shared, can be as similar as asked."""
+    return common >= similarity * (size + other - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are as similar as asked (two empty sets are)."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(_can_reach(similarity, F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+
+
+def _possible(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Members (value, key, n, most) that can be similar to any other: of its n shingles a text shares at most those that another one has.
+
+    A shingle that only one of the texts has counts against that text alone, so this costs one count of shingles and drops no similar pair.
+    """
+    alone = sets.select("key", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+    facts = sets.select("key", F.size("shingles").alias("n")).join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    facts = scratch.store(facts.where(_can_reach(similarity, F.col("most"), F.col("n"), F.col("most"))))
+    left = scratch.store(members.select("value", "key").join(facts, "key"))
+    shared = scratch.store(left.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"))
+    return scratch.store(left.join(shared, "value"))
 
 
-def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Components (a, b) of the similar texts among those that share a value; `members` has (value, key), `texts` (key, text).
+def _crowded(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Tightens `most` where many texts share a value, and gives the pairs (a, b) that this leaves out and that can be similar.
 
-    Each round compares some texts of a value, its leaders, with all others of it that are in another component, and takes
-    them out. Values whose texts are in one component are done. Leaders are the
-    smallest key at first, then MORE_LEADERS times more each round, outside the value's largest component: so a large group
-    of copies is tied to few texts, and whoever a leader rejected is compared with the others.
+    Of the texts in crowded values, two that have no shingle with at most FEW owners in common share at most the other
+    ones. Those that have one are listed by a join on these shingles, which has at most FEW texts to a shingle.
+    """
+    crowds = scratch.store(members.groupBy("value").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("value", F.lit(True).alias("crowded")))
+    inside = members.join(crowds, "value").select("key").distinct()
+    each = scratch.store(sets.join(inside, "key").select("key", F.explode("shingles").alias("s"), F.size("shingles").alias("n")))
+    few = each.groupBy("s").agg(F.count("*").alias("owners")).where(F.col("owners") <= FEW)
+    few = scratch.store(each.join(few, "s"))
+    common = scratch.store(few.groupBy("key", "n").agg(F.count("*").alias("own")).select("key", "n", (F.col("n") - F.col("own")).alias("common")))
+    one, other = (few.where("owners > 1").select("s", F.col("key").alias(x)) for x in "ab")
+    shared = one.join(other, "s").where("a > b").groupBy("a", "b").agg(F.count("*").alias("few"))
+    for x in "ab":
+        shared = shared.join(common.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"common_{x}")), x)
+    pairs = shared.where(_can_reach(similarity, F.col("few") + F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    tight = members.join(crowds, "value", "left").join(common.select("key", "common"), "key", "left")
+    return scratch.store(tight.select("value", "key", "n", F.when(F.col("crowded"), F.least("most", F.coalesce("common", "n"))).otherwise(F.col("most")).alias("most"))), pairs
+
+
+def _linked(members: DataFrame, known: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Components (a, b) of the similar texts among those that share a value; `members` has (value, key, n, most), `sets` (key, shingles).
+
+    `known` are pairs to compare besides, in the first round.
+
+    Each round compares some texts of a value, its leaders, with all others of it that are in another component and can
+    be similar, and takes the leaders out. Values whose texts are in one component are done. Leaders are the texts with the
+    smallest share of shingles of their own (so the original rather than an edited copy), one of a value at first, then
+    MORE_LEADERS times more each round, outside the value's largest component: so a large group of copies is tied to few texts,
+    and whoever a leader rejected is compared with the others.
     """
     compared = verified = root = None
     slices = 1
+    edited = (F.col("n") - F.col("most")) / F.greatest("n", F.lit(1))
+    leader = F.min(F.struct(edited.alias("edited"), "key", "root", "n", "most")).alias("x")
     while True:
-        leader = F.min(F.struct("key", "root")).alias("x")
         if root is None:
             at = members.withColumn("root", F.col("key"))
             chosen = at.groupBy("value").agg(leader)
         else:
-            at = members.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("value", "key", F.coalesce("root", "key").alias("root"))
-            most = at.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("most"))
-            at = scratch.store(at.join(most.where("roots > 1"), "value"))
-            chosen = at.where("root <> most").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice")).agg(leader)
-        chosen = scratch.store(chosen.select("value", F.col("x.key").alias("leader"), F.col("x.root").alias("own")))
+            at = scratch.store(members.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("value", "key", "n", "most", F.coalesce("root", "key").alias("root")))
+            most = at.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
+            most = scratch.store(most.where("roots > 1").select("value", "largest"))
+            at = scratch.store(at.join(most, "value"))
+            chosen = at.where("root <> largest").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice")).agg(leader)
+        chosen = scratch.store(chosen.select("value", F.col("x.key").alias("leader"), F.col("x.root").alias("own"), F.col("x.n").alias("m"), F.col("x.most").alias("least")))
         if root is not None and chosen.isEmpty():
             return root
-        pairs = at.join(chosen, "value").where("root <> own").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
+        near = (F.col("root") != F.col("own")) & _can_reach(similarity, F.least("most", "least"), F.col("n"), F.col("m"))
+        pairs = at.join(chosen, "value").where(near).select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
+        pairs = (pairs.unionByName(known) if root is None else pairs).distinct()
         pairs = scratch.store(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        sets = scratch.store(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets, "key long, shingles array<long>"))
         similar = scratch.store(_verified(pairs, sets, similarity))
         compared = pairs if compared is None else compared.unionByName(pairs)
         verified = similar if verified is None else verified.unionByName(similar)
         root = components(verified)
-        members = scratch.store(at.select("value", "key").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
+        members = scratch.store(at.select("value", "key", "n", "most").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
         slices *= MORE_LEADERS
 
 
-def _bucketed(documents: DataFrame, by: str) -> DataFrame:
-    """`documents` as a table in the shared folder, bucketed by a column: it is shuffled once, and joins on that column leave it in place."""
-    spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"bucketed_{uuid.uuid4().hex}"
-    documents.repartition(n, by).write.bucketBy(n, by).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents (all columns) with the smallest doc_id of each group of near-duplicates, one row each; rows without doc_id count last."""
     row, key = fresh(documents, "row", "key")
     text = F.coalesce("text", F.lit(""))
-    docs = _bucketed(documents.withColumns({key: F.xxhash64(text), row: F.xxhash64(text, F.lit("/"), F.col("doc_id"))}), row)
+    scratch = Scratch(documents.sparkSession)
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = bucketed(documents.withColumns({key: F.xxhash64(text), row: F.xxhash64(text, F.lit("/"), F.col("doc_id"))}).repartition(n, row), row)
     base = docs.select(F.col(key).alias("key"), F.col(row).alias("row"), "doc_id", text.alias("text"))
 
     # of equal texts one is looked at: the row with the smallest id
-    scratch = Scratch(documents.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     of_key = scratch.store(base.groupBy("key").agg(first.alias("x")).select("key", "x.none", "x.doc_id", "x.row"))
     # rows that repeat id and text stand in one bucket, so dropping them shuffles nothing
     alone = base.join(of_key.select("row"), "row", "left_semi").select("key", "row", "text").dropDuplicates(["row"])
     bands = scratch.store(alone.select("key", "text").mapInArrow(_bands, "key long, bands array<long>")).select("key", F.explode("bands").alias("value"))
     shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    root = _linked(scratch.store(bands.join(shared, "value")), alone, similarity, scratch)
+    members = scratch.store(bands.join(shared, "value"))
+    met = members.select("key").distinct()
+    sets = scratch.bucketed(alone.select("key", "text").join(met, "key", "left_semi").mapInArrow(_shingle_sets, "key long, shingles array<long>"), "key")
+    root = _linked(*_crowded(_possible(members, sets, similarity, scratch), sets, similarity, scratch), sets, similarity, scratch)
     grouped = of_key.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("none", "doc_id", "row")).alias("x")).select(F.col("x.row").alias(row)))
     scratch.clear()
