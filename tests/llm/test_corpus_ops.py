@@ -268,7 +268,11 @@ def _kept_by_hand(rows, benchmark):
         least[k] = min((texts[t], t), least.get(k, (texts[t], t)))
     token = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     windows = {tuple(w[j : j + 10]) for w in map(token, benchmark) for j in range(max(len(w) - 9, min(len(w), 1)))}
-    hit = lambda t: any(tuple(token(t)[j : j + len(p)]) == p for p in windows for j in range(len(token(t))))
+
+    def hit(t):
+        w = token(t)
+        return any(tuple(w[j : j + m]) in windows for m in {len(p) for p in windows} for j in range(len(w) - m + 1))
+
     return {i for i, _ in least.values()}, {i for i, t in least.values() if not hit(t)}
 
 

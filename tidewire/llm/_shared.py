@@ -79,14 +79,14 @@ class Scratch:
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, *by: str) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.n += 1
         self.names.append(f"bucketed_{uuid.uuid4().hex}")
-        df.write.bucketBy(n, *by).option("path", f"{self.folder}/{self.n}").saveAsTable(self.names[-1])
+        df.write.option("compression", "zstd").bucketBy(n, *by).option("path", f"{self.folder}/{self.n}").saveAsTable(self.names[-1])
         return self.spark.table(self.names[-1])
 
     def clear(self) -> None:

@@ -1,6 +1,6 @@
 """Vectorised text primitives shared by the Arrow-batched operators.
 
-A batch of texts is processed in slices of a few MB (`slices`), so the numpy temporaries stay
+A batch of texts is processed in slices of half a MB (`slices`), so the numpy temporaries stay
 bounded whatever the batch size is; only a single text longer than a slice exceeds it.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: The six ASCII white-space bytes that end a word.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -127,7 +127,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, a function of its bytes alone."""
-    size = 1 << max(21, int(max(len(data), 1) - 1).bit_length())
+    size = 1 << max(19, int(max(len(data), 1) - 1).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
@@ -41,11 +41,11 @@ GRAM = 16
 #: Window starts of a cell, the unit in which texts are sent to shards (bits of a long).
 CELL = 64
 #: Recurring windows that an automaton is compiled for, on average.
-SHARD = 4096
+SHARD = 1024
 #: log2 of the window starts of a text whose passages stay together.
-TOGETHER = 12
+TOGETHER = 10
 #: Cells that are streamed through one copy of a shard.
-HOT = 4096
+HOT = 1024
 
 KEY = ["key", "twin"]
 
@@ -97,8 +97,8 @@ def _anchors(window: int, gram: int):
                 digests += [hashlib.sha256(b" ".join(s.raw(i).split())).hexdigest() for i in range(len(s))]
             if counts:
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in (*KEY, "copies")), pa.array(np.concatenate(counts)), pa.array(digests), pa.concat_arrays(lists), pa.concat_arrays(places)],
-                    names=[*KEY, "copies", "n_words", "whole", "anchors", "places"],
+                    [*(batch.column(c) for c in ("doc_id", *KEY)), pa.array(np.concatenate(counts)), pa.array(digests), pa.concat_arrays(lists), pa.concat_arrays(places)],
+                    names=["doc_id", *KEY, "n_words", "whole", "anchors", "places"],
                 )
 
     return run
@@ -237,9 +237,9 @@ def _locate(window: int):
     return run
 
 
-def _keyed(documents: DataFrame) -> tuple[DataFrame, Column, Column]:
+def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return text, F.xxhash64(text), F.xxhash64(text, F.lit("twin"))
+    return documents.select("doc_id", F.xxhash64(text).alias("key"), F.xxhash64(text, F.lit("twin")).alias("twin"), text.alias("text"))
 
 
 def _routes(windows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -261,19 +261,20 @@ def _routes(windows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _located(documents: DataFrame, scratch: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct texts (key, twin, text, copies), what is known of each (n_words, whole: digest of all words), and spans of words to remove."""
-    text, key, twin = _keyed(documents)
-    texts = documents.select(key.alias("key"), twin.alias("twin"), text.alias("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = scratch.bucketed(texts, *KEY)
-    seen = stored(texts.mapInArrow(_anchors(window, gram), "key long, twin long, copies long, n_words long, whole string, anchors array<long>, places array<int>"))
-    each = seen.where(F.size("anchors") > 0).select(*KEY, "copies", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select(*KEY, "copies", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    recurring = scratch.store(each.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"))
-    places = each.join(recurring, "anchor").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
-    windows = scratch.store(texts.join(places, KEY).mapInArrow(_windows(window, gram), "key long, twin long, copies long, start int, hash long, check int"))
+    """What is known of each document (doc_id, key, twin, n_words, whole: digest of all words), the distinct texts that may lose words (key, twin, text), and spans of words to remove."""
+    docs = _keyed(documents)
+    seen = stored(docs.mapInArrow(_anchors(window, gram), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, twin long, n_words long, whole string, anchors array<long>, places array<int>"))
+    each = seen.where(F.size("anchors") > 0).select(*KEY, F.explode(F.arrays_zip("anchors", "places")).alias("x")).select(*KEY, F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+    recurring = scratch.store(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    places = each.join(recurring, "anchor").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    # copies meet once a partition before they are shuffled, and only texts with a recurring anchor are written
+    texts = docs.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = scratch.bucketed(texts.join(places, KEY), *KEY)
+    windows = scratch.store(texts.mapInArrow(_windows(window, gram), "key long, twin long, copies long, start int, hash long, check int"))
     pieces = texts.join(_routes(windows, scratch), KEY).mapInArrow(_pieces(window), "shard long, salt int, stretch boolean, key long, twin long, begin int, words string")
     shards = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "stretch")
     spans = shards.mapInArrow(_locate(window), "key long, twin long, begin int, end int").groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return texts, seen, spans
+    return seen, texts, spans
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,21 +299,20 @@ def _shortened(texts: DataFrame, spans: DataFrame) -> DataFrame:
 def digests(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(documents.sparkSession)
-    texts, seen, spans = _located(documents, scratch, window, gram)
+    seen, texts, spans = _located(documents, scratch, window, gram)
     lost = stored(_shortened(texts, spans).select(*KEY, "n_removed", F.sha2("kept", 256).alias("kept")))
     scratch.clear()
-    each = seen.select(*KEY, "n_words", "whole").join(lost, KEY, "left").select(*KEY, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
-    _, key, twin = _keyed(documents)
-    return documents.select("doc_id", key.alias("key"), twin.alias("twin")).join(each, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    joined = seen.select("doc_id", *KEY, "n_words", "whole").join(lost, KEY, "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents (all columns); texts that repeat lose the covered words, others stay as they are."""
     scratch = Scratch(documents.sparkSession)
-    texts, _, spans = _located(documents, scratch, window, gram)
+    _, texts, spans = _located(documents, scratch, window, gram)
     k, t, kept = fresh(documents, *KEY, "kept")
     lost = stored(_shortened(texts, spans).select(F.col("key").alias(k), F.col("twin").alias(t), F.col("kept").alias(kept)))
     scratch.clear()
-    _, key, twin = _keyed(documents)
-    joined = documents.join(lost, (key == F.col(k)) & (twin == F.col(t)), "left")
+    text = F.coalesce("text", F.lit(""))
+    joined = documents.join(lost, (F.xxhash64(text) == F.col(k)) & (F.xxhash64(text, F.lit("twin")) == F.col(t)), "left")
     return joined.withColumn("text", F.coalesce(kept, "text")).select(*(F.col(f"`{c}`") for c in documents.columns))
