@@ -110,7 +110,7 @@ def _texts(spark, sf_dir):
 
 @query(f"WITH {_HITS} SELECT * FROM hits")
 def lexicon_hits(spark, sf_dir):
-    return rules.lexicon_hits(_texts(spark, sf_dir), _LEX)
+    return rules.lexicon_hits(_texts(spark, sf_dir), _LEX, by_tokens=True)
 
 
 _SCORES = f"""{_HITS},
@@ -131,7 +131,7 @@ SELECT d.doc_id, CASE WHEN coalesce(b.score, 0) > 0 THEN b.cid ELSE 'other_corpo
   round(CASE WHEN coalesce(b.score, 0) > 0 THEN greatest(0.20, least(0.85, 0.60 + 0.06 * least(3, b.strong) - 0.08 * least(3, b.n_rivals))) ELSE 0.20 END, 6) AS confidence
 FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN total t USING (doc_id)""")
 def keyword_score(spark, sf_dir):
-    out = rules.classify_lexicon(_texts(spark, sf_dir), _LEX, rules.Weights(least_competitor=2.0), competitors=_RIVALS)
+    out = rules.classify_lexicon(_texts(spark, sf_dir), _LEX, rules.Weights(least_competitor=2.0), competitors=_RIVALS, by_tokens=True)
     return out.select("doc_id", "cid", F.round("score", 6).alias("score"), "needs_review", F.round("confidence", 6).alias("confidence"))
 
 
