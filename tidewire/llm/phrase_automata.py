@@ -45,7 +45,7 @@ SHARD = 1024
 #: log2 of the window starts of a text whose passages stay together.
 TOGETHER = 10
 #: Cells that are streamed through one copy of a shard.
-HOT = 1024
+HOT = 512
 
 KEY = ["key", "twin"]
 
