@@ -49,11 +49,16 @@ def test_decontaminate(spark):
 
 
 def test_decontaminate_in_shards(spark, monkeypatch):
-    rows = corpus(2)
-    bench = spark.createDataFrame([(i, " ".join(words(rows[4 * i][1])[:15])) for i in range(6)], "item_id long, text string")
-    whole = Counter(decontaminate.contamination(frame(spark, rows), bench).collect())
+    rows = [*corpus(2), (None, corpus(2)[0][1]), (None, None), (7, corpus(2)[4][1])]
+    items = [(i, " ".join(words(rows[4 * i][1])[:15])) for i in range(6)] + [(None, "w1 w2"), (9, "the"), (9, None), (10, ""), (11, "w1 w2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    whole, clean = Counter(decontaminate.contamination(docs, bench).collect()), Counter(decontaminate.clean_documents(docs, bench).collect())
+    assert sum(r.contaminated for r in whole) > 5
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)
-    assert Counter(decontaminate.contamination(frame(spark, rows), bench).collect()) == whole
+    assert Counter(decontaminate.contamination(docs, bench).collect()) == whole
+    assert Counter(decontaminate.clean_documents(docs, bench).collect()) == clean
+    assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
 SECRETS = [
