@@ -180,38 +180,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(_can_reach(similarity, F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
-def _possible(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Members (value, key, n, most) that can be similar to any other: of its n shingles a text shares at most those that another one has.
+def _possible(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (value, key, n, most) that can be similar to any other, and pairs (a, b) to compare besides.
 
-    A shingle that only one of the texts has counts against that text alone, so this costs one count of shingles and drops no similar pair.
+    Of its n shingles a text shares at most those that another one has: a shingle of one text alone counts against it. So this costs one
+    count of shingles and drops no similar pair. Where many texts share a value, `most` is tighter: two texts without a common
+    shingle of at most FEW owners share at most the other ones; and those with one are listed by a join on these
+    shingles, which has at most FEW texts to a shingle.
     """
-    alone = sets.select("key", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+    each = scratch.store(sets.select("key", F.explode("shingles").alias("s")))
+    owners = scratch.store(each.groupBy("s").agg(F.count("*").alias("owners"), F.min("key").alias("key")).where(F.col("owners") <= FEW))
+    alone = owners.where("owners = 1").groupBy("key").agg(F.count("*").alias("own"))
     facts = sets.select("key", F.size("shingles").alias("n")).join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
     facts = scratch.store(facts.where(_can_reach(similarity, F.col("most"), F.col("n"), F.col("most"))))
     left = scratch.store(members.select("value", "key").join(facts, "key"))
-    shared = scratch.store(left.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"))
-    return scratch.store(left.join(shared, "value"))
-
-
-def _crowded(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Tightens `most` where many texts share a value, and gives the pairs (a, b) that this leaves out and that can be similar.
-
-    Of the texts in crowded values, two that have no shingle with at most FEW owners in common share at most the other
-    ones. Those that have one are listed by a join on these shingles, which has at most FEW texts to a shingle.
-    """
-    crowds = scratch.store(members.groupBy("value").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("value", F.lit(True).alias("crowded")))
-    inside = members.join(crowds, "value").select("key").distinct()
-    each = scratch.store(sets.join(inside, "key").select("key", F.explode("shingles").alias("s"), F.size("shingles").alias("n")))
-    few = each.groupBy("s").agg(F.count("*").alias("owners")).where(F.col("owners") <= FEW)
-    few = scratch.store(each.join(few, "s"))
-    common = scratch.store(few.groupBy("key", "n").agg(F.count("*").alias("own")).select("key", "n", (F.col("n") - F.col("own")).alias("common")))
-    one, other = (few.where("owners > 1").select("s", F.col("key").alias(x)) for x in "ab")
+    sizes = scratch.store(left.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"))
+    left = scratch.store(left.join(sizes, "value"))
+    few = scratch.store(each.join(owners.where("owners > 1").select("s"), "s"))
+    few = scratch.store(few.join(left.where(F.col("size") > CROWD).select("key", "n", "most").distinct(), "key"))
+    common = scratch.store(few.groupBy("key", "n", "most").agg(F.count("*").alias("own")).select("key", "n", (F.col("most") - F.col("own")).alias("common")))
+    one, other = (few.select("s", F.col("key").alias(x)) for x in "ab")
     shared = one.join(other, "s").where("a > b").groupBy("a", "b").agg(F.count("*").alias("few"))
     for x in "ab":
         shared = shared.join(common.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"common_{x}")), x)
     pairs = shared.where(_can_reach(similarity, F.col("few") + F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    tight = members.join(crowds, "value", "left").join(common.select("key", "common"), "key", "left")
-    return scratch.store(tight.select("value", "key", "n", F.when(F.col("crowded"), F.least("most", F.coalesce("common", "n"))).otherwise(F.col("most")).alias("most"))), pairs
+    most = F.when(F.col("size") > CROWD, F.coalesce("common", "most")).otherwise(F.col("most"))
+    return scratch.store(left.join(common.select("key", "common"), "key", "left").select("value", "key", "n", most.alias("most"))), pairs
 
 
 def _linked(members: DataFrame, known: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -273,7 +267,7 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     members = scratch.store(bands.join(shared, "value"))
     met = members.select("key").distinct()
     sets = scratch.bucketed(alone.select("key", "text").join(met, "key", "left_semi").mapInArrow(_shingle_sets, "key long, shingles array<long>"), "key")
-    root = _linked(*_crowded(_possible(members, sets, similarity, scratch), sets, similarity, scratch), sets, similarity, scratch)
+    root = _linked(*_possible(members, sets, similarity, scratch), sets, similarity, scratch)
     grouped = of_key.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     keep = stored(grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("none", "doc_id", "row")).alias("x")).select(F.col("x.row").alias(row)))
     scratch.clear()
