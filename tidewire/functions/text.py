@@ -134,6 +134,9 @@ _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇ
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
+ACCENTS = str.maketrans(_MARKED, _PLAIN)
+
+
 def unaccent(c) -> Column:
     """Common Latin letters without their marks (ø, æ and ß are letters of their own and stay)."""
     text = text_or_empty(c)
@@ -160,3 +163,16 @@ def mask_company(text, company) -> Column:
     first = F.regexp_extract(quoted, r"^([^\s]{2,})", 1)
     either = F.when(first != "", F.concat(F.lit(r"(?i)\b(?:"), quoted, F.lit("|"), first, F.lit(r")\b"))).otherwise(F.lit(r"[^\s\S]"))
     return collapse(F.regexp_replace(text_or_empty(text), either, " "))
+
+
+def passage(title, body, prefix: bool = True) -> Column:
+    """A release as an embedding model reads it: `[TITLE] title`, a blank line and the body."""
+    t, b = F.trim(text_or_empty(title)), F.trim(text_or_empty(body))
+    said = F.when(t != "", F.concat(F.lit("[TITLE] "), t, F.lit("\n\n"), b)).otherwise(b)
+    return F.concat(F.lit("passage: "), said) if prefix else said
+
+
+def category_query(name, description, prefix: bool = True) -> Column:
+    """A category as an embedding model reads it."""
+    said = F.concat(F.lit("category: "), text_or_empty(name), F.lit(". description: "), text_or_empty(description))
+    return F.concat(F.lit("query: "), said) if prefix else said

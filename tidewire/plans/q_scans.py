@@ -10,7 +10,7 @@ from tidewire.functions import numbers, text
 from tidewire.operators import alerting, dedup
 from tidewire.plans.press import PRESS, press
 from tidewire.plans.registry import query
-from tidewire.session import cut, table
+from tidewire.session import table
 from tidewire.sources import scans, sinks
 from tidewire.streaming import ingest
 
@@ -82,7 +82,7 @@ def upsert_latest(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderdate").alias("updated"), F.col("o_orderdate").alias("created"))
     path = _folder(spark, "upsert")
     sinks.overwrite(orders.where("o_custkey % 2 = 0"), path)
-    return spark.read.parquet(sinks.upsert(orders, path, ["o_custkey", "o_orderstatus"], "updated", "created")).distinct()
+    return sinks.read_upserted(spark, sinks.upsert(orders, path, ["o_custkey", "o_orderstatus"], "updated", "created")).distinct()
 
 
 @query("SELECT doc_id FROM documents")
@@ -215,30 +215,121 @@ def company_mask(spark, sf_dir):
     return press(spark, sf_dir).select("doc_id", text.mask_company("title", F.lit("Acme AB")).alias("masked"))
 
 
-@query()
+@query("SELECT DISTINCT event_id, ts FROM events")
 def stream_dedup(spark, sf_dir):
     """Arrivals drained through a stream; the result equals the distinct ids of the batch."""
-    events, name = table(spark, sf_dir, "events"), f"stream_{uuid.uuid4().hex[:8]}"
-    folder = _folder(spark, "landing")
+    events, folder = table(spark, sf_dir, "events"), _folder(spark, "landing")
     events.select("event_id", F.col("ts").cast("timestamp").alias("ts")).repartition(4).write.parquet(folder)
     stream = ingest.landing(spark, folder, spark.read.parquet(folder).schema)
-    ingest.drain(ingest.dedup_stream(stream, "event_id", "ts", "60 days"), name, _folder(spark, "checkpoint"))
-    return cut(spark.table(name))
+    kept = ingest.drain(ingest.dedup_stream(stream, "event_id", "ts", "60 days"), _folder(spark, "drained"), _folder(spark, "checkpoint"))
+    return kept.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, sf_dir):
-    name, folder = f"stream_{uuid.uuid4().hex[:8]}", _folder(spark, "landing")
+    folder = _folder(spark, "landing")
     table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).write.parquet(folder)
     stream = ingest.landing(spark, folder, spark.read.parquet(folder).schema)
-    ingest.drain(ingest.windowed_counts(stream, "ts", "event_type"), name, _folder(spark, "checkpoint"), "complete")
-    return cut(spark.table(name)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counted = ingest.drain(ingest.windowed_counts(stream, "ts", "event_type"), _folder(spark, "drained"), _folder(spark, "checkpoint"), ["start", "event_type"])
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT user_id, count(*) AS n, count(*) - 1 AS with_prior FROM events GROUP BY user_id")
-def stream_prior_state(spark, sf_dir):
-    name, folder = f"stream_{uuid.uuid4().hex[:8]}", _folder(spark, "landing")
+def _with_prior(spark, sf_dir):
+    folder = _folder(spark, "landing")
     table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("value", F.lit(0.0)).alias("value")).write.parquet(folder)
     stream = ingest.landing(spark, folder, spark.read.parquet(folder).schema)
-    ingest.drain(ingest.prior_state(stream, "user_id", "ts", "value"), name, _folder(spark, "checkpoint"))
-    return cut(spark.table(name)).groupBy("user_id").agg(F.count("*").alias("n"), F.count("prior").alias("with_prior"))
+    return ingest.drain(ingest.prior_state(stream, "user_id", "ts", "value"), _folder(spark, "drained"), _folder(spark, "checkpoint"))
+
+
+@query("SELECT user_id, count(*) AS n, count(*) - 1 AS with_prior FROM events GROUP BY user_id")
+def stream_prior_state(spark, sf_dir):
+    return _with_prior(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count("prior").alias("with_prior"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, coalesce(value, 0) AS value, count(*) OVER (PARTITION BY user_id, ts) AS same FROM events),
+p AS (SELECT *, lag(value) OVER w AS prior, lag(same) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, ts, value, prior FROM p WHERE same = 1 AND coalesce(before, 1) = 1
+""")
+def stream_prior_values(spark, sf_dir):
+    """Every event with the value its user had before it; events of one user at one moment have no order and are left out, as is what follows them."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts")
+    rows = _with_prior(spark, sf_dir).withColumn("same", F.count("*").over(Window.partitionBy("user_id", "ts")))
+    rows = rows.withColumn("before", F.lag("same").over(w)).where("same = 1 AND coalesce(before, 1) = 1")
+    return rows.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "prior")
+
+
+@query("SELECT DISTINCT n_name AS id FROM nation")
+def csv_projection(spark, sf_dir):
+    """Ids from one column of a CSV file."""
+    root = _folder(spark, "csv")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.option("header", True).csv(root)
+    return scans.csv_ids(spark, root, "n_name").withColumnRenamed("n_name", "id")
+
+
+@query("SELECT r_name AS key, CAST(r_regionkey AS BIGINT) AS weight FROM region")
+def config_by_key(spark, sf_dir):
+    """A JSON list of settings, written through Spark and read back as a dictionary by key."""
+    path = _folder(spark, "config")
+    item = F.to_json(F.struct(F.col("r_name").alias("key"), F.col("r_regionkey").alias("weight")))
+    table(spark, sf_dir, "region").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    settings = scans.config(spark, path)
+    return spark.createDataFrame([(k, int(v["weight"])) for k, v in settings.items()], "key string, weight long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 10")
+def overwrite_table(spark, sf_dir):
+    """The second write replaces the first."""
+    nations, path = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _folder(spark, "over")
+    sinks.overwrite(nations.where("n_nationkey < 10"), path)
+    sinks.overwrite(nations.where("n_nationkey >= 10"), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation")
+def create_then_append(spark, sf_dir):
+    """An empty typed table is created once, then rows are appended under its schema, cast where they differ."""
+    path, nations = _folder(spark, "typed"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    for rows in (nations.where("id < 10"), nations.where("id >= 10")):
+        sinks.create_empty(spark, path, "id long, name string")
+        sinks.append_typed(rows, path, "id long, name string")
+    return spark.read.parquet(path)
+
+
+@query("SELECT 'run-1' AS run_id, count(*) AS n_rows FROM nation UNION ALL SELECT 'run-2', count(*) FROM region")
+def metrics_rows(spark, sf_dir):
+    path = _folder(spark, "metrics")
+    for run, name in (("run-1", "nation"), ("run-2", "region")):
+        sinks.append(table(spark, sf_dir, name).agg(F.lit(run).alias("run_id"), F.count("*").alias("n_rows")), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT 'a' AS run_id, n_name AS name FROM nation UNION ALL SELECT 'b', r_name FROM region")
+def run_output_csv(spark, sf_dir):
+    """Two runs' rows as CSV files below one root, each under its id."""
+    root = _folder(spark, "runs")
+    for run, name in (("a", "nation"), ("b", "region")):
+        sinks.run_output(table(spark, sf_dir, name).select(F.col(f"{name[0]}_name").alias("name")), root, run, "csv")
+    return spark.read.option("header", True).csv(root).select("run_id", "name")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'bn' WHEN o_orderkey % 4 = 1 THEN 'k' WHEN o_orderkey % 4 = 2 THEN 'm' END AS scale,
+  o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 0.001 ELSE 1.0 END AS millions FROM orders
+""".replace("* CASE o_orderkey % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 0.001 ELSE 1.0 END", "* CASE o_orderkey % 4 WHEN 0 THEN 1000.0 ELSE 1.0 END / CASE o_orderkey % 4 WHEN 1 THEN 1000.0 ELSE 1.0 END"))
+def values_in_millions(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    scale = F.when(k == 0, "bn").when(k == 1, "k").when(k == 2, "m")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scale.alias("scale"), numbers.to_millions("o_totalprice", scale).alias("millions"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN trim(title) <> '' THEN 'passage: [TITLE] ' || trim(title) || chr(10) || chr(10) || trim(body) ELSE 'passage: ' || trim(body) END AS passage,
+  'query: category: ' || company || '. description: ' || release_date AS question FROM press
+""".replace("SELECT", f"WITH {PRESS} SELECT", 1))
+def prompts(spark, sf_dir):
+    """What a passage and a category read as to an embedding model."""
+    p = press(spark, sf_dir)
+    return p.select("doc_id", text.passage("title", "body").alias("passage"), text.category_query("company", F.col("release_date").cast("string")).alias("question"))

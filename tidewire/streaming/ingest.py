@@ -42,9 +42,25 @@ def prior_state(stream: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(fold, f"`{key}` {kind}, `{ts}` timestamp, `{value}` double, prior double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there into a memory table, then stops."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, path: str, checkpoint: str, latest_of: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there into a Parquet table, then stops; gives the table.
+
+    Rows are appended. With `latest_of` (the columns that tell results apart) every micro-batch adds the results that it changed, and
+    the latest of each counts. A batch that is run again after a failure replaces its own files.
+    """
+    spark, kind = stream.sparkSession, stream.schema
+    if latest_of is None:
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(kind).parquet(path)
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/_part={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.parquet(path).drop("_part")
+    rest = [c for c in kind.names if c not in latest_of]
+    newest = changed.groupBy(*latest_of).agg(F.max(F.struct("_batch", *rest)).alias("x"))
+    return newest.select(*(c if c in latest_of else F.col(f"x.{c}").alias(c) for c in kind.names))
 
 
 def to_ingest(df: DataFrame, seen: DataFrame, epoch: str, key: str, mark: tuple[int, str]) -> DataFrame:
