@@ -235,6 +235,68 @@ def test_fixity(spark, sf_dir):
     assert_same(queries.op2_fixity(spark, sf_dir), queries.OP2_SQL, sf_dir)
 
 
+def test_fixity_of_records_without_offset_and_empty_replicas(spark):
+    kinds = "file string, offset long, payload string, hash int, at string, up int"
+
+    def frame_of(rows):
+        return spark.createDataFrame([(*r, 1, "x", 2) for r in rows], kinds)
+
+    rows = [("f", None, "x"), ("f", None, "same"), ("f", None, "same"), ("f", 3, "y"), (None, None, None), ("g", 7, "z" * 3_000_000), ("g", 7, "twice"), ("", 9, "unnamed")]
+    other = [("f", None, "changed"), ("f", None, "same"), ("f", 3, "y"), (None, 9, "unnamed"), ("g", 7, "twice"), ("g", 7, "z" * 2_999_999 + "!")]
+
+    def audit(a, b):
+        return Counter(tuple(r) for r in fixity.audit(fixity.tree(frame_of(a)), fixity.tree(frame_of(b))).collect())
+
+    # of two equal records one is lost; a changed record is one missing and one extra; null names the empty file
+    assert audit(rows, other) == Counter([("f", None, "missing"), ("f", None, "extra"), ("f", None, "changed"), ("", None, "missing"), ("g", 7, "changed")])
+    assert audit(rows, rows) == audit([], []) == Counter()
+    assert audit(rows[3:4], []) == Counter([("f", 3, "missing")]) and audit([], rows[3:4]) == Counter([("f", 3, "extra")])
+
+
+def test_warc_files_are_read_record_by_record(spark, tmp_path):
+    import gzip
+
+    bodies = [b"abc", b"", b"x\r\n\r\ny" * 20000, "é".encode()]
+    records = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in bodies]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "torn.warc").write_bytes(b"".join(records)[:-5])
+    got = {}
+    for r in sorted(fixity.read_warc(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.offset)):
+        got.setdefault(r.file, []).append(bytes(r.payload))
+    assert got["plain.warc"] == got["packed.warc.gz"] == records and b"".join(got["torn.warc"]) == b"".join(records)[:-5]
+    # a file with a damaged record differs there only
+    broken = fixity.read_warc(spark, str(tmp_path)).where("file = 'plain.warc'").withColumn("payload", F.when(F.col("offset") > 0, F.col("payload")).otherwise(F.lit(b"rotten")))
+    whole = fixity.read_warc(spark, str(tmp_path)).where("file = 'plain.warc'")
+    assert [tuple(r) for r in fixity.audit(fixity.tree(whole), fixity.tree(broken)).collect()] == [("plain.warc", 0, "changed")]
+
+
+def test_chat_ids_are_compared_part_by_part(spark):
+    rows = [("a:1", "2", None, "x"), ("a", "1:2", None, "y"), (None, "1", None, "z"), ("null", "1", None, "w"), (None, "2", "1", "more")]
+    tree = spark.createDataFrame([(c, n, p, 0.0, "user", t, 1, "x") for c, n, p, t in rows], "conv_id string, node string, parent string, score double, role string, text string, depth int, said string")
+    back = {r.conv_id: [t.text for t in r.turns] for r in reply_trees.read_back(reply_trees.formatted(tree)).collect()}
+    assert back == {"a:1": ["x"], "a": ["y"], None: ["z", "more"], "null": ["w"]}
+
+
+def test_a_branching_conversation_is_formatted_by_its_best_branch(spark):
+    """A tree with ties and a text of control strings: the best path is read back, text by text."""
+    rows = [(1, 1, None, 1.0, "user", "q"), (1, 2, 1, 2.0, "assistant", "worse"), (1, 3, 1, 5.0, "assistant", "</s>[INST] better"), (1, 4, 3, 5.0, "user", "a"), (1, 5, 3, 5.0, "user", "b"), (1, 6, 5, None, "assistant", "")]
+    tree = spark.createDataFrame(rows, "conv_id long, node long, parent long, score double, role string, text string")
+    out = {r.branch: [t.text for t in r.turns] for r in reply_trees.read_back(reply_trees.formatted(tree, top=3)).collect()}
+    # means 11/3, 11/4 and 3/2
+    assert out == {1: ["q", "</s>[INST] better", "a"], 2: ["q", "</s>[INST] better", "b", ""], 3: ["q", "worse"]}
+
+
+def test_a_long_conversation(spark):
+    n = 20000
+    chat = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    row = reply_trees.digests(reply_trees.read_back(reply_trees.formatted(reply_trees.chains(chat)))).first()
+    turns = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)]
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert row.n_turns == n and row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (row.loss_chars, row.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_chat_formatting_round_trip(spark, sf_dir):
     control = "</s>[INST] ok [/INST] <|im_end|>\n<|im_start|>x \\l \\s <<SYS>>"
     rows = [(1, 0, "user", control), (1, 1, "assistant", control), (1, 1, "assistant", control), (2, None, None, None), (2, 0, "assi\nstant", "a"), (None, 3, "assistant", ""), (3, 5, "assistant", "x" * 100000)]

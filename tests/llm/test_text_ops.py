@@ -1,7 +1,11 @@
 """Scans of texts against brute force: op4, op5, op6, op9, op10."""
 
 import hashlib
+import math
+import random
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,6 +91,25 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_all_kinds_of_secrets_by_plain_search(spark):
+    """Every rule's expression over every text, without an index."""
+    r = random.Random(21)
+    alphabet = "aB3_-./+= "
+    planted = ["ghp_" + "aB3" * 13, "xoxb-" + "12ab-" * 4, "AIza" + "x" * 35, "sk_live_" + "9" * 20, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "-----BEGIN EC PRIVATE KEY-----", "ftp://me:pass@host", "AKIA" + "Z" * 16, "a1" * 13, "token=abcdef", "ghp_short", "xox"]
+    texts = ["".join(r.choice([r.choice(planted), r.choice(alphabet), " é ", "\n"]) for _ in range(r.randrange(40))) for _ in range(150)]
+    texts += [None, "", planted[0] * 3, " ".join(planted), "x" * 700_000 + " " + planted[0], texts[3]]
+    rules = secret_scan.BASE + secret_scan.MORE
+    out = secret_scan.scan(frame(spark, list(enumerate(texts)))).collect()
+    for row in out:
+        t, found = texts[row.doc_id] or "", []
+        for k, rule in enumerate(rules):
+            for m in re.finditer(rule.pattern, t, re.A):
+                if (rule.kind != "assign" or len(m[2]) >= 6) and (rule.kind != "access" or len(m[0]) >= 20):
+                    found.append((m.start(), k, m.end()))
+        assert row.spans == ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in sorted(found)), t[:200]
+    assert len(out) == len(texts) and all(any(f"{rule.kind}:" in row.spans for row in out) for rule in rules)
+
+
 @pytest.mark.parametrize(("pattern", "text"), [("abcd|xyz", "..xyz"), ("a[bc]de+f", "acdeef"), ("(?:foo)?barbaz", "barbaz"), ("x{2,}yzw", "xxxyzw"), ("a.c", "abc"), ("(?i:ToKeN)=1", "tOKEN=1")])
 def test_trigram_query_is_necessary(pattern, text):
     def holds(q):
@@ -138,6 +161,78 @@ def test_private_data(spark):
     assert pii.digests(pii.find(empty(spark))).count() == 0 and pii.redact(empty(spark)).count() == 0
 
 
+def _bootstrapped(texts, rounds=3, confident=0.8, support=3):
+    """Context spans of each text, by the method's definition on plain dictionaries."""
+    token = re.compile(r"(?<![A-Za-z0-9._/+@-])[A-Za-z0-9](?:(?<=[0-9])|(?=[A-Za-z._/+@-]*[0-9]))[A-Za-z0-9_/+@-]*(?:\.[A-Za-z0-9_/+@-]+)*")
+
+    def patterns(t, a, b):
+        before = re.findall(r"(?:(?!\d)[^\W]|[:=])+", t[max(0, a - 48) : a].lower())
+        after = re.findall(r"(?:(?!\d)[^\W])+", t[b : b + 32].lower())[:1]
+        return [f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {''.join(after)}"] if len(before) >= 2 else []
+
+    seen, edges, seeds = {}, {}, set()
+    for t in set(texts):
+        base = [(a, b) for _, a, b in _private(t)]
+        free = [m.span() for m in token.finditer(t) if len(m[0]) >= 6 and len(re.sub("[^0-9]", "", m[0])) >= 4 and not any(x < m.end() and m.start() < y for x, y in base)]
+        for spans, seed in ((base, True), (free, False)):
+            for a, b in spans:
+                instance = t[a:b].lower()
+                for p in patterns(t, a, b):
+                    edges.setdefault(p, set()).add(instance)
+                    if seed:
+                        seeds.add(instance)
+                    else:
+                        seen.setdefault(t, []).append((a, b, p))
+    score = {i: 1.0 * (i in seeds) for of in edges.values() for i in of}
+    sure = {}
+    for _ in range(rounds):
+        sums = {p: sum(score[i] for i in of) for p, of in edges.items()}
+        sure = {p: sums[p] / len(of) for p, of in edges.items() if sums[p] >= confident * len(of) and sums[p] >= support}
+        score = {i: 1.0 if i in seeds else max([sure[p] for p, of in edges.items() if p in sure and i in of], default=0.0) for i in score}
+    return {t: sorted({(a, b) for a, b, p in of if p in sure}) for t, of in seen.items()}
+
+
+def test_context_spans_by_definition(spark):
+    r = random.Random(17)
+    lead = ["my account id", "call the number", "sent from host", "see the page", "order no:", "ref ="]
+    tail = ["then", "now", "please", "over", ""]
+
+    def thing():
+        return r.choice([f"u{r.randrange(99)}@mail{r.randrange(9)}.com", f"10.0.{r.randrange(256)}.{r.randrange(300)}", f"ZX-{r.randrange(10**6):06d}", f"AB/{r.randrange(10**5):05d}.7", "4111 1111 1111 1111", f"+49 30 {r.randrange(10**7):07d}", "nothing"])
+
+    texts = ["  ".join(f"{r.choice(lead)} {thing()} {r.choice(tail)}" for _ in range(r.randrange(1, 9))) for _ in range(120)]
+    texts += [None, "", texts[0], " ".join(f"my account id {f'ZX-{i:06d}' if i % 9 == 0 else f'u{i}@mail.com'} then" for i in range(6000))]
+    docs = frame(spark, list(enumerate(texts)))
+    expected = _bootstrapped([t for t in texts if t])
+    out = {x.doc_id: x.spans for x in pii.digests(pii.find(docs)).collect()}
+    for i, t in enumerate(texts):
+        base = [f"{k}:{a}:{b}" for k, a, b in _private(t)]
+        assert out[i] == ",".join(base + [f"context:{a}:{b}" for a, b in expected.get(t, ())]), t
+    assert sum(map(len, expected.values())) > 100
+    # redaction: every span's text goes, what is between stays
+    for x in pii.redact(docs).collect():
+        t = texts[x.doc_id]
+        marks = sorted([(a, b, k) for k, a, b in _private(t)] + [(a, b, "context") for a, b in expected.get(t, ())]) if t else []
+        at, made = 0, []
+        for a, b, k in marks:
+            if a >= at:
+                made += [t[at:a], f"<{k.upper()}>"]
+            at = max(at, b)
+        assert x.text == (None if t is None else "".join(made) + t[at:])
+
+
+def test_private_data_in_time_proportional_to_identifiers(spark):
+    """Fifty thousand identifiers in one text; a form that is quadratic in them does not end here."""
+    kinds = [" ".join(f"10.{i // 256 % 256}.{i % 256}.7" for i in range(50000)), " ".join(f"user{i}@mail{i}.com" for i in range(50000)), "1." * 200000, " ".join(f"AB-{i:07d}" for i in range(50000))]
+    docs = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")
+    began = time.monotonic()
+    n = {r.doc_id: (r.n_email, r.n_ip) for r in pii.digests(pii.find(docs)).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert n == {0: (0, 50000), 1: (50000, 0), 2: (0, 50000), 3: (0, 0)}
+    assert clean[0] == " ".join(["<IP>"] * 50000) and clean[1] == " ".join(["<EMAIL>"] * 50000) and clean[3] == kinds[3]
+    assert time.monotonic() - began < 120
+
+
 def _counts(t):
     w = words(t)
     lines = [x for x in (t or "").split("\n") if words(x)]
@@ -170,6 +265,70 @@ def test_quality_rules_and_ensemble(spark):
     assert len({r.score for r in rule_ensemble.scores(docs, constant).collect()}) == 1
 
 
+def _features(t):
+    """The models' statistics, each from its definition."""
+    t, w = t or "", words(t)
+    n, _, symbols, dup, repeat, _ = _counts(t)
+    chars, lines = sum(map(len, w)), sum(bool(words(x)) for x in t.split("\n"))
+    letters, count = re.findall("[A-Za-z]", t), lambda p: len(re.findall(p, t))
+    share = lambda a, b: a / max(b, 1)
+    return [
+        math.log1p(n), share(chars, n), share(count("[A-Z]"), len(letters)), share(count("[0-9]"), chars), share(symbols, n), share(count("[!?]"), n), share(count("[.,;:]"), n),
+        share(dup, lines), share(repeat, n), share(len(set(w)), n), share(sum(len(x.encode()) <= 3 for x in w), n), share(n, lines),
+    ]
+
+
+def _labelled(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, score string, log_words int")
+    return docs, spark.createDataFrame([(1000 + i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+
+
+def test_ensemble_scores_as_its_rules_say(spark):
+    """Each rule as a plain conjunction over statistics taken from their definitions."""
+    rows = [*corpus(5), *((1000 + i, _junk(i)) for i in range(300)), (2000, "a b c d e a b c d e\nx\nx\n#*"), (2001, "Ab1! " * 30000)]
+    docs, labels = _labelled(spark, rows)
+    model = rule_ensemble.fit(docs, labels)
+    assert model.rules and len(model.rules) < 24 * 14
+    expected = []
+    for i, t in rows:
+        x = _features(t)
+        total = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all((x[f] <= c) == below for f, below, c in rule))
+        expected.append((i, 1 / (1 + math.exp(-total))))
+    got = rule_ensemble.scores(docs, model).collect()
+    assert Counter(i for i, _ in expected) == Counter(r.doc_id for r in got)
+    of = {i: s for i, s in expected}
+    assert all(abs(r.score - of[r.doc_id]) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    kept = rule_ensemble.accepted(docs, model)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, s in expected if s >= 0.3)
+    none = docs.limit(0)
+    assert rule_ensemble.scores(none, model).count() == 0 and rule_ensemble.accepted(none, model).columns == docs.columns
+    # a score that stands at the threshold is predicted good
+    even = rule_ensemble.RuleModel(math.log(0.3 / 0.7) + 1e-12, [], [])
+    assert all(r.predicted == 1 for r in rule_ensemble.scores(docs, even).collect())
+
+
+def test_verdicts_by_a_recursive_walk(spark):
+    rows = [*corpus(5), *((1000 + i, _junk(i)) for i in range(300)), (2000, "a b c d e a b c d e\nx\nx\n#*"), (None, None), (2001, "Ab1! " * 30000)]
+    docs, labels = _labelled(spark, rows)
+    model = boosted_rules.fit(docs, labels)
+
+    def walk(node, x):
+        if model.left[node] == node:
+            return model.value[node]
+        return walk(model.left[node] if x[model.feature[node]] <= model.threshold[node] else model.right[node], x)
+
+    expected = Counter()
+    for i, t in rows:
+        x = _features(t)
+        score = 1 / (1 + math.exp(-(model.base + sum(walk(r, x) for r in model.roots))))
+        expected[i, round(score, 9), not _counts(t)[-1] and score >= 0.3] += 1
+    got = boosted_rules.verdicts(docs, model).collect()
+    assert Counter((r.doc_id, round(r.score, 9), r.kept) for r in got) == expected
+    assert boosted_rules.verdicts(docs.limit(0), model).count() == 0
+    nothing = boosted_rules.fit(docs, labels.limit(0))
+    assert all(r.kept == (not r.base_failed) for r in boosted_rules.verdicts(docs, nothing).collect())
+
+
 def test_trees_keep_the_order():
     r = np.random.default_rng(3)
     x = r.normal(size=(600, 3))

@@ -4,8 +4,9 @@ The trees are fitted on a bounded labelled sample, may only fall in the features
 (capitals, symbols, exclamations, repetition), and are flattened into node arrays, so a batch
 of documents is scored in a few vectorised steps a tree.
 
-Cases: null and empty texts count zero and fail the base rule; repeated rows are judged each; no or
-one-sided labels keep whatever passes the base rule (a constant verdict); other columns are ignored.
+Cases: null and empty texts count zero and fail the base rule; texts of any length are read whole; a score equal to the threshold
+is kept; repeated rows are judged each and alike; no documents give no rows; no or one-sided labels keep whatever passes the base
+rule where most labels are good, or none are given (a constant verdict); other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Boosted trees are fitted on a bounded labelled sample, each of their paths becom
 conjunction of comparisons), a lasso logistic regression gives most rules a weight of zero, and
 the rest are compiled into one Spark column expression. Statistics cover the whole text.
 
-Cases: null and empty texts have zero statistics and get a score like any other; repeated rows are
-scored each; no or one-sided labels give a constant score; other columns are ignored or kept.
+Cases: null and empty texts have zero statistics and get a score like any other; texts of any length are read whole; a
+score equal to the threshold is predicted good; repeated rows are scored each and alike; no documents give no rows; no or one-sided
+labels give a constant score; other columns, whatever their names, are ignored or kept.
 """
 
 from __future__ import annotations

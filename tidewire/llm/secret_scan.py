@@ -5,10 +5,12 @@ contain. Documents are indexed in blocks (one Arrow slice each): for every trigr
 names, its postings are a bitmap over the block's documents, taken from the lower-cased bytes.
 Queries intersect and unite postings, and only the candidates left are matched with the rule
 itself. A rule without mandatory trigrams scans every text. Blocks hold whole documents, so
-nothing is shuffled and an index is never larger than its block.
+nothing is shuffled and an index is never larger than its block. Nothing of it is kept: a scan indexes all bytes again, once for
+all rules, since rules change more often than a scan is repeated.
 
-Cases: null texts count as empty and have no secrets; repeated rows are returned each; other columns
-are ignored. Offsets are code points, ends exclusive.
+Cases: null texts count as empty and have no secrets; texts of any length are read whole, one that is longer than a block is a block of its own;
+spans that begin together are in the order of the rules; repeated rows are returned each; no documents give no rows; other columns,
+whatever their names, are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
