@@ -41,6 +41,23 @@ def sweep(df: DataFrame, score: str, correct: str, cuts: list[float]) -> DataFra
     return n.select("cut", "kept", r("right", "kept").alias("precision"), r("right", "all_right").alias("recall"), r("kept", "n").alias("share"))
 
 
+def sweep_grid(df: DataFrame, a: str, b: str, correct: str, cuts_a: list[float], cuts_b: list[float]) -> DataFrame:
+    """(cut_a, cut_b, kept, precision, recall, share) of keeping rows that reach both cuts, in one pass."""
+    grid = F.array(*(F.struct(F.lit(x).alias("cut_a"), F.lit(y).alias("cut_b")) for x in cuts_a for y in cuts_b))
+    keep = (F.col("a") >= F.col("cut_a")) & (F.col("b") >= F.col("cut_b"))
+    each = df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(correct).cast("int").alias("ok"), F.explode(grid).alias("g")).select("g.*", "a", "b", "ok")
+    n = each.groupBy("cut_a", "cut_b").agg(F.count_if(keep).alias("kept"), F.sum(F.when(keep, F.col("ok")).otherwise(0)).alias("right"), F.sum("ok").alias("all_right"), F.count("*").alias("n"))
+    r = lambda x, y: F.coalesce(F.try_divide(F.col(x).cast("double"), F.col(y).cast("double")), F.lit(0.0))
+    return n.select("cut_a", "cut_b", "kept", r("right", "kept").alias("precision"), r("right", "all_right").alias("recall"), r("kept", "n").alias("share"))
+
+
+def best_cuts(grid: DataFrame, target: float) -> DataFrame:
+    """The row of `sweep_grid` that keeps most at the target precision; without one, the most precise."""
+    met = F.col("precision") >= target
+    order = [met.desc(), F.when(met, F.col("kept")).desc_nulls_last(), F.col("precision").desc(), F.col("kept").desc(), F.col("cut_a"), F.col("cut_b")]
+    return grid.where("kept > 0").orderBy(*order).limit(1)
+
+
 def describe(df: DataFrame, group: str, value: str) -> DataFrame:
     p = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
     a = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), p.alias("p"))

@@ -52,11 +52,12 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 384, overlap: int = 3
     return w.select(key, "w", F.posexplode(starts).alias("chunk", "at")).select(key, "chunk", F.slice("w", F.col("at"), size).alias("words"))
 
 
-def weighted_mean(df: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
-    """(key, vector): weighted mean of a key's vectors, length one."""
+def weighted_mean(df: DataFrame, key: str, vector: str, weight: str, unit: bool = True) -> DataFrame:
+    """(key, vector): weighted mean of a key's vectors, of length one with `unit`."""
     cells = df.select(key, F.col(weight).alias("w"), F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
     whole = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return whole.select(key, V.unit(F.transform("v", lambda s: s.x)).alias("vector"))
+    mean = F.transform("v", lambda s: s.x)
+    return whole.select(key, (V.unit(mean) if unit else mean).alias("vector"))
 
 
 def all_but_the_top(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
@@ -92,6 +93,46 @@ def diverse_subset(df: DataFrame, key: str, vector: str, clusters: int, each: in
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select(key, F.col("prediction").alias("cluster"))
 
 
+def clustered(df: DataFrame, key: str, vector: str, k: int, seed: int = 7) -> DataFrame:
+    """(key, vector, cluster, centre): k-means by cosine; vectors and centres have length one."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(key, V.unit(vector).alias("vector")).withColumn("features", array_to_vector("vector"))
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(rows)
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))  # the model: k vectors
+    found = model.transform(rows).select(key, "vector", F.col("prediction").alias("cluster"))
+    return found.withColumn("centre", V.unit(F.get(centres, F.col("cluster"))))
+
+
+def cluster_diagnostics(found: DataFrame) -> DataFrame:
+    """(cluster, size, mean, p10, p50, p90) of the members' cosines to their centre."""
+    c = found.select("cluster", V.dot("vector", "centre").alias("c"))
+    a = c.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("c").alias("mean"), F.percentile("c", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("p"))
+    return a.select("cluster", "size", "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
+
+
+def cluster_quality(found: DataFrame, key: str) -> DataFrame:
+    """One row: davies_bouldin, calinski_harabasz (of squared distances) and neighbour_rate, the share of rows whose nearest other row is in their cluster."""
+    from tidewire.operators.scoring import neighbours
+
+    def squared(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    means = weighted_mean(found.withColumn("one", F.lit(1.0)), "cluster", "vector", "one", unit=False).withColumnRenamed("vector", "mean")
+    whole = weighted_mean(found.withColumn("one", F.lit(1.0)).withColumn("all", F.lit(0)), "all", "vector", "one", unit=False).select(F.col("vector").alias("whole"))
+    rows = found.join(F.broadcast(means), "cluster")  # one row for each cluster
+    each = rows.groupBy("cluster", "mean").agg(F.count("*").alias("size"), F.avg(F.sqrt(squared("vector", "mean"))).alias("spread"), F.sum(squared("vector", "mean")).alias("within"))
+    a, b = each.alias("a"), each.alias("b")
+    gap = F.sqrt(squared("a.mean", "b.mean"))
+    worst = a.join(b, F.col("a.cluster") != F.col("b.cluster")).groupBy("a.cluster").agg(F.max((F.col("a.spread") + F.col("b.spread")) / gap).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    sums = each.crossJoin(whole).agg(F.sum(F.col("size") * squared("mean", "whole")).alias("between"), F.sum("within").alias("within"), F.sum("size").alias("n"), F.count("*").alias("k"))
+    ch = sums.select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    near = neighbours(found, key, "vector", 1).select(key, "other").join(found.select(key, "cluster"), key).join(found.select(F.col(key).alias("other"), F.col("cluster").alias("c")), "other")
+    rate = near.agg(F.avg((F.col("cluster") == F.col("c")).cast("double")).alias("neighbour_rate"))
+    return worst.crossJoin(ch).crossJoin(rate)
+
+
 def topic_hints(df: DataFrame, key: str, text: str, topics: int = 5, words: int = 8, seed: int = 7) -> DataFrame:
     """(topic, terms): the strongest words of each topic."""
     from pyspark.ml.clustering import LDA

@@ -57,6 +57,29 @@ def threshold_sweep(spark, sf_dir):
     return s.select("cut", "kept", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "share")))
 
 
+_GRID = f"""{_PAIRS}, a AS (SELECT unnest(range(17)) / 100.0 AS cut_a), b AS (SELECT unnest(range(11)) / 10.0 AS cut_b),
+grid AS (SELECT cut_a::DOUBLE AS cut_a, cut_b::DOUBLE AS cut_b, count(*) FILTER (margin >= cut_a AND prob >= cut_b) AS kept,
+  coalesce(count(*) FILTER (margin >= cut_a AND prob >= cut_b AND truth = pred) / nullif(count(*) FILTER (margin >= cut_a AND prob >= cut_b), 0), 0) AS precision,
+  count(*) FILTER (margin >= cut_a AND prob >= cut_b AND truth = pred) / count(*) FILTER (truth = pred) AS recall, count(*) FILTER (margin >= cut_a AND prob >= cut_b) / count(*) AS share
+  FROM p CROSS JOIN a CROSS JOIN b GROUP BY ALL)"""
+
+
+def _grid(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).withColumn("ok", F.col("truth") == F.col("pred"))
+    return metrics.sweep_grid(rows, "margin", "prob", "ok", [i / 100 for i in range(17)], [i / 10 for i in range(11)])
+
+
+@query(f"{_GRID} SELECT cut_a, cut_b, kept, round(precision, 6) AS precision, round(recall, 6) AS recall, round(share, 6) AS share FROM grid")
+def threshold_grid(spark, sf_dir):
+    """Seventeen cuts of the margin by eleven of the probability."""
+    return _grid(spark, sf_dir).select("cut_a", "cut_b", "kept", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "share")))
+
+
+@query(f"{_GRID} SELECT cut_a, cut_b, kept FROM grid WHERE kept > 0 ORDER BY precision >= 0.6 DESC, CASE WHEN precision >= 0.6 THEN kept END DESC NULLS LAST, precision DESC, kept DESC, cut_a, cut_b LIMIT 1")
+def target_precision(spark, sf_dir):
+    return metrics.best_cuts(_grid(spark, sf_dir), 0.6).select("cut_a", "cut_b", "kept")
+
+
 @query("""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS least, round(quantile_cont(l_quantity, 0.1), 4) AS p10, round(quantile_cont(l_quantity, 0.25), 4) AS p25,
   round(quantile_cont(l_quantity, 0.5), 4) AS p50, round(quantile_cont(l_quantity, 0.75), 4) AS p75, round(quantile_cont(l_quantity, 0.9), 4) AS p90, max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag""")
 def describe_by_group(spark, sf_dir):
@@ -139,4 +162,5 @@ def kmeans_select(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
     judge = ClusteringEvaluator(distanceMeasure="cosine")
     rows = [(k, float(judge.evaluate(KMeans(k=k, seed=7, distanceMeasure="cosine", maxIter=10).fit(e).transform(e)))) for k in (5, 10, 15)]
+    e.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette double")

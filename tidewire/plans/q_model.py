@@ -47,6 +47,30 @@ def diverse_subset(spark, sf_dir):
     return modeling.diverse_subset(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 5)
 
 
+@query()
+def cluster_diagnostics(spark, sf_dir):
+    """Size and cosines to the centre of each of ten clusters."""
+    found = modeling.clustered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    return modeling.cluster_diagnostics(found)
+
+
+@query(f"""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+x AS (SELECT vec_id, label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM u),
+m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY label, i), w AS (SELECT i, avg(x) AS w FROM x GROUP BY i),
+d AS (SELECT vec_id, label, sum((x - m) * (x - m)) AS d2 FROM x JOIN m USING (label, i) GROUP BY vec_id, label),
+s AS (SELECT label, count(*) AS size, avg(sqrt(d2)) AS spread, sum(d2) AS within FROM d GROUP BY label),
+g AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS gap FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label),
+db AS (SELECT avg(r) AS davies_bouldin FROM (SELECT g.a, max((p.spread + q.spread) / gap) AS r FROM g JOIN s p ON p.label = g.a JOIN s q ON q.label = g.b GROUP BY g.a)),
+bt AS (SELECT sum(size * d2) AS between_, (SELECT sum(within) FROM s) AS within, (SELECT sum(size) FROM s) AS n, (SELECT count(*) FROM s) AS k FROM s JOIN (SELECT label, sum((m - w) * (m - w)) AS d2 FROM m JOIN w USING (i) GROUP BY label) USING (label)),
+nn AS (SELECT a.vec_id, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) = 1)
+SELECT round(davies_bouldin, 6) AS davies_bouldin, round((between_ / (k - 1)) / (within / (n - k)), 4) AS calinski_harabasz, (SELECT round(avg(same::INTEGER), 6) FROM nn) AS neighbour_rate FROM db, bt""")
+def cluster_quality(spark, sf_dir):
+    """The labels taken as clusters."""
+    found = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"), V.unit("embedding").alias("vector"))
+    q = modeling.cluster_quality(found, "vec_id")
+    return q.select(F.round("davies_bouldin", 6).alias("davies_bouldin"), F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("neighbour_rate", 6).alias("neighbour_rate"))
+
+
 @query()
 def topic_hints(spark, sf_dir):
     return modeling.topic_hints(table(spark, sf_dir, "documents"), "doc_id", "text", 3)

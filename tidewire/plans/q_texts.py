@@ -73,6 +73,25 @@ def mail_parts(spark, sf_dir):
     return m.select(F.col("path").cast("long").alias("page_id"), text.company_of_sender("sender").alias("sender"), "subject")
 
 
+@query(r"""SELECT item_id, regexp_replace(text, '^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$', '', 'g') AS body FROM benchmark""")
+def mail_bodies(spark, sf_dir):
+    """Texts as mails of three parts, an attachment and a marked-up form before the plain one, which is what is read."""
+    b = table(spark, sf_dir, "benchmark")
+    part = "\r\n--cut\r\nContent-Type: {}; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n{}\r\n"
+
+    def coded(c):
+        return F.regexp_replace(F.base64(F.encode(c, "utf-8")), r"\s", "")
+
+    raw = F.concat(
+        F.lit("From: ir@acme.com\r\nSubject: x\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=cut\r\n"),
+        F.lit(part.format("text/plain", "Content-Disposition: attachment\r\n")), coded(F.lit("not this")),
+        F.lit(part.format("text/html", "")), coded(F.lit("<p>nor this</p>")),
+        F.lit(part.format("text/plain", "")), coded(F.col("text")), F.lit("\r\n--cut--\r\n"),
+    )
+    m = html.mails(b.select(F.col("item_id").cast("string").alias("path"), F.encode(raw, "utf-8").alias("content")))
+    return m.select(F.col("path").cast(b.schema["item_id"].dataType).alias("item_id"), F.col("text").alias("body"))
+
+
 @query("SELECT 1 AS newest")
 def latest_run(spark, sf_dir):
     """The newest of two written runs."""
