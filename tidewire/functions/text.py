@@ -43,9 +43,14 @@ def strip_separators(c) -> Column:
     return collapse(F.regexp_replace(text_or_empty(c), r"[-_*=]{5,}", " "))
 
 
-def strip_links(c) -> Column:
-    """Without URLs and e-mail addresses."""
-    return collapse(F.regexp_replace(F.regexp_replace(text_or_empty(c), r"https?://\S+|www\.\S+", " "), r"\S+@\S+\.\S+", " "))
+#: Fixed value: an e-mail address within a text.
+ADDRESS = r"\b[\w\.-]+@[\w\.-]+\.\w+\b"
+
+
+def strip_links(c, whole_words: bool = False) -> Column:
+    """Without URLs and e-mail addresses; with `whole_words` an address takes what is joined to it along."""
+    bare = F.regexp_replace(text_or_empty(c), r"https?://\S+|www\.\S+", " ")
+    return collapse(F.regexp_replace(bare, r"\S+@\S+\.\S+" if whole_words else f"(?U){ADDRESS}", " "))
 
 
 def alternation(terms, stems: bool = False, portable: bool = False) -> str:
@@ -176,3 +181,26 @@ def category_query(name, description, prefix: bool = True) -> Column:
     """A category as an embedding model reads it."""
     said = F.concat(F.lit("category: "), text_or_empty(name), F.lit(". description: "), text_or_empty(description))
     return F.concat(F.lit("query: "), said) if prefix else said
+
+
+#: Legal forms that follow a company's name.
+LEGAL_FORMS = (
+    "a/s", "ab", "asa", "oyj", "oy", "gmbh", "ag", "sa", "sas", "bv", "nv", "plc", "ltd", "ltda", "inc", "inc.", "corp", "corp.", "co", "co.", "llc", "llp",
+    "pte", "kk", "k.k.", "s.p.a.", "spa", "s.a.b.", "sarl", "s.a.r.l.", "s.r.o.", "sro", "se", "aps", "as", "a/b",
+)
+
+
+def mask_company_forms(text, company) -> Column:
+    """The text without the company's name, however it is spaced, hyphenated or cased, and without a legal form behind it."""
+    name = F.regexp_replace(F.trim(text_or_empty(company)), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    loose = F.regexp_replace(name, r"\s+|-", r"[\\s-]+")
+    forms = "|".join(re.escape(f) for f in sorted(LEGAL_FORMS, key=len, reverse=True))
+    pattern = F.when(name != "", F.concat(F.lit(r"(?iU)\b"), loose, F.lit(rf"(?:,?\s+(?:{forms})(?!\w))?(?!\w)"))).otherwise(F.lit(r"[^\s\S]"))
+    return collapse(F.regexp_replace(text_or_empty(text), pattern, " "))
+
+
+def language_code(c) -> Column:
+    """A language's code without its region where it is one that texts are kept in; none is `und`."""
+    code = F.lower(F.coalesce(col(c), F.lit("und")))
+    head = F.substring(code, 1, 2)
+    return F.when(head.isin("sv", "fi", "da", "en"), head).otherwise(code)

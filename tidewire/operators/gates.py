@@ -9,7 +9,7 @@ from tidewire.functions.text import collapse, col, strip_separators, text_or_emp
 
 # The phrases that mark subscription mail, account mail, quote mail and real news.
 SUBSCRIPTION_TITLE = (
-    "opt[- \t]?in",
+    r"opt[-\s]?in",
     "(?:thank you|thanks).{0,30}subscrib",
     "you(?:'re| are) subscribed",
     "registered your subscription",

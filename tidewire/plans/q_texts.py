@@ -32,7 +32,27 @@ def snippets(spark, sf_dir):
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g'), '[\\s\\x{A0}]+', ' ', 'g')) AS plain FROM documents""")
 def link_removal(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_links("text").alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_links("text", whole_words=True).alias("plain"))
+
+
+@query(r"""SELECT p_partkey, 'Write to (' || repeat(' ', 1) || '), or see' AS plain FROM part""")
+def address_removal(spark, sf_dir):
+    """An address goes, the brackets around it stay."""
+    said = F.concat(F.lit("Write  to (ir."), F.col("p_partkey").cast("string"), F.lit("@mail-1.acme.com), or see https://acme.com/a?b=(c)"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.strip_links(said).alias("plain"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'reports' WHEN 1 THEN 'News: , wins' ELSE 'Nordseax AB grows' END AS masked FROM supplier""")
+def company_forms_mask(spark, sf_dir):
+    """A name in other cases and spacings, with a legal form behind it; a longer word is another name."""
+    k = F.col("s_suppkey") % 3
+    said = F.when(k == 0, "NORD-SEA A/S reports").when(k == 1, "News: Nord  Sea, Ltd , wins").otherwise("Nordseax AB grows")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.mask_company_forms(said, F.lit("Nord Sea")).alias("masked"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang IS NULL THEN 'und' WHEN lang IN ('en', 'sv', 'da', 'fi') THEN lang ELSE lang || '-xx' END AS code FROM documents""")
+def language_codes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.language_code(F.concat(F.upper("lang"), F.lit("-XX"))).alias("code"))
 
 
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9åäöæøéèüïóáç\\-]+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 50""")
