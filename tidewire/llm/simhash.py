@@ -117,6 +117,8 @@ SIMILARITY = 0.8
 MORE_LEADERS = 16
 #: Texts from which a value is crowded, and the owners up to which a shingle there is listed rather than counted as common to all.
 CROWD, FEW = 64, 8
+#: Pairs of one text that a task compares.
+DEALT = 256
 
 
 def _set_hashes(s: T.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +176,18 @@ def _can_reach(similarity: float, common, size, other=0) -> Column:
     return common >= similarity * (size + other - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are as similar as asked (two empty sets are)."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b, lead: the one of the two that many pairs may have) whose shingle sets are as similar as asked (two empty sets are).
+
+    The pairs of one text are dealt over as many tasks as they need, with a copy of its set for each.
+    """
+    member = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    hot = scratch.store(pairs.groupBy("lead").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "lead", "left").select("a", "b", "lead", member.alias("member"), F.pmod(F.xxhash64("a", "b"), salts).cast("int").alias("salt"))
+    leads = sets.join(pairs.select(F.col("lead").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("lead"), F.col("shingles").alias("y"))
+    copies = leads.join(hot, "lead", "left").select("lead", "y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = dealt.join(sets.select(F.col("key").alias("member"), F.col("shingles").alias("x")), "member").join(copies, ["lead", "salt"])
     return both.where(_can_reach(similarity, F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
@@ -237,11 +248,11 @@ def _linked(members: DataFrame, known: DataFrame, sets: DataFrame, similarity: f
         if root is not None and chosen.isEmpty():
             return root
         near = (F.col("root") != F.col("own")) & _can_reach(similarity, F.least("most", "least"), F.col("n"), F.col("m"))
-        pairs = at.join(chosen, "value").where(near).select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
-        pairs = (pairs.unionByName(known) if root is None else pairs).distinct()
+        pairs = at.join(chosen, "value").where(near).select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"), F.col("leader").alias("lead"))
+        pairs = (pairs.unionByName(known.withColumn("lead", F.col("b"))) if root is None else pairs).groupBy("a", "b").agg(F.min("lead").alias("lead"))
         pairs = scratch.store(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        similar = scratch.store(_verified(pairs, sets, similarity))
-        compared = pairs if compared is None else compared.unionByName(pairs)
+        similar = scratch.store(_verified(pairs, sets, similarity, scratch))
+        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         verified = similar if verified is None else verified.unionByName(similar)
         root = components(verified)
         members = scratch.store(at.select("value", "key", "n", "most").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
