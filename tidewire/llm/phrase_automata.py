@@ -253,7 +253,8 @@ def _routes(windows: DataFrame, scratch: Scratch) -> DataFrame:
     own = F.when(place == F.col("first"), F.expr(f"shiftleft(1L, start % {CELL})")).otherwise(F.lit(0).cast("long"))
     met = windows.join(recurring, ["hash", "check"]).select(*KEY, shard, F.floor(F.col("start") / CELL).cast("int").alias("cell"), own.alias("own"))
     cells = scratch.store(met.groupBy(*KEY, "shard", "cell").agg(F.bit_or("own").alias("own")))
-    hot = cells.groupBy("shard").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1")
+    # stored, its size is known: a small table is broadcast and the cells stay where they are
+    hot = scratch.store(cells.groupBy("shard").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"))
     salts = F.coalesce("salts", F.lit(1))
     salt = F.pmod(F.xxhash64(*KEY, F.floor(F.col("cell") / CELL)), salts).cast("int")
     dealt = cells.join(hot, "shard", "left").select(*KEY, F.struct("shard", "cell", "own", salts.alias("salts"), salt.alias("salt")).alias("c"))
