@@ -203,8 +203,8 @@ class Cues:
     def _period_near(self, t: Text, i: int, window: int) -> bool:
         return any(_PERIOD.fullmatch(w) for w in t.words[max(0, i - window) : i + window + 1])
 
-    def gate(self, t: Text, numbers: list[tuple[int, int]], dated) -> Gate | None:
-        """The gate of a release; `numbers` are the spans of its amounts and shares, `dated` tells whether a string names a period."""
+    def gate(self, t: Text, numbers, dated) -> Gate | None:
+        """The gate of a release; `numbers` gives the spans of its amounts and shares, `dated` tells whether a string names a period."""
         at = {k: sorted(set(v)) for k, v in self.places.find(t.words).items()}
         found = []
         for verb, marker, window, same, needs_period, kind in self.rules:
@@ -212,7 +212,9 @@ class Cues:
             if near and (not needs_period or self._period_near(t, near[2], window)):
                 found.append((*near, kind))
         best = min(found, key=lambda x: x[0]) if found else None
-        number = best is None and any(not needed or self._number_near(t, i, window, numbers) for name, window, needed in self.numeric for i in at.get(name, ()))
+        stated = [(i, window, needed) for name, window, needed in self.numeric for i in at.get(name, ())] if best is None else []
+        spans = numbers() if any(needed for _, _, needed in stated) else []
+        number = any(not needed or self._number_near(t, i, window, spans) for i, window, needed in stated)
         spoken = next((t.at[i] for i in at.get("guidance", ()) if self._period_near(t, i, 8) or dated(t.sentences[t.at[i]][1])), None)
         marker = self.stub.search(t.text)
         if marker and dated(t.sentences[(i := self._sentence_of(t, marker.start()))][1]):
