@@ -126,3 +126,9 @@ def test_number_parse_prices_and_periods(spark, sf_dir):
     assert all(v is None or math.isfinite(v) for r in catalog.QUERIES["number_parse_prices"](spark, sf_dir).collect() for v in r.asDict().values() if isinstance(v, float) or v is None)
     for r in catalog.QUERIES["fiscal_period_texts"](spark, sf_dir).collect():
         assert re.fullmatch(r"Q[1-4]-20\d\d|H[12]-20\d\d|FY20\d\d|FY-UNKNOWN|PERIOD-UNKNOWN|UNKNOWN", r.period)
+
+
+def test_chunked_embedding_of_no_words(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "***"), (4, "word")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.vector for r in catalog.QUERIES["chunked_embedding"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3, 4} and all(got[i] == [0.0] * 16 for i in (1, 2, 3)) and sum(map(abs, got[4])) == 1

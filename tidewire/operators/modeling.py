@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +38,34 @@ def language_votes(c, head: int = 1200) -> Column:
 
 def hashed_embedding(c, size: int = 64) -> Column:
     """A deterministic vector of a text: signed hashed words, length one (a stand-in where no model is at hand)."""
-    words = tokens(c)
-    zero = F.array(*[F.lit(0.0)] * size)
 
-    def add(v, w):
-        h = F.xxhash64(w)
-        at = F.pmod(h, F.lit(size))
-        return F.transform(v, lambda x, i: x + F.when(i == at, F.when(h >= 0, 1.0).otherwise(-1.0)).otherwise(0.0))
+    @F.arrow_udf("array<double>")
+    def sums(words: pa.Array) -> pa.Array:
+        known = words.flatten().dictionary_encode()
+        h = np.array([xxhash.xxh64_intdigest(w.as_buffer(), 42) for w in known.dictionary], np.uint64).view(np.int64)
+        at, sign = h % size, np.where(h >= 0, 1.0, -1.0)
+        codes, owner = known.indices.to_numpy(), pc.list_parent_indices(words).to_numpy()
+        cells = np.bincount(owner * size + at[codes], sign[codes], minlength=len(words) * size).astype(float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), pa.array(cells))
 
-    return V.unit(F.aggregate(words, zero, add))
+    return V.unit(sums(tokens(c)))
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 384, overlap: int = 32) -> DataFrame:
     """(key, chunk, words): runs of `size` words that overlap, so that long texts are embedded whole."""
-    w = df.select(key, tokens(text).alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - overlap, F.lit(1)), F.lit(size - overlap))
-    return w.select(key, "w", F.posexplode(starts).alias("chunk", "at")).select(key, "chunk", F.slice("w", F.col("at"), size).alias("words"))
+
+    def runs(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - overlap, F.lit(1)), F.lit(size - overlap))
+        return F.transform(starts, lambda at: F.slice(w, at, size))
+
+    # cut within the row: after explode every run would carry the whole text's words
+    return df.select(key, F.posexplode(V.bind(tokens(text), runs)).alias("chunk", "words"))
 
 
 def weighted_mean(df: DataFrame, key: str, vector: str, weight: str, unit: bool = True) -> DataFrame:
-    """(key, vector): weighted mean of a key's vectors, of length one with `unit`."""
-    cells = df.select(key, F.col(weight).alias("w"), F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    """(key, vector): weighted mean of a key's vectors, of length one with `unit`; zeros where all weights are zero (a text without words)."""
+    mean = F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")), F.lit(0.0))
+    cells = df.select(key, F.col(weight).alias("w"), F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(mean.alias("x"))
     whole = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     mean = F.transform("v", lambda s: s.x)
     return whole.select(key, (V.unit(mean) if unit else mean).alias("vector"))
