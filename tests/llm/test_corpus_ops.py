@@ -394,3 +394,16 @@ def test_oracles_run_on_an_empty_table():
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     assert as_rows(c.execute(mixing.SQL).df()) == Counter() and isinstance(c.execute("SELECT 1").df(), pd.DataFrame)
+
+
+def test_one_of_each_frees_its_rounds(spark, monkeypatch):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    left = []
+    monkeypatch.setattr(simhash, "release", lambda s: left.append(sorted(x for x in os.listdir(shared) if x.startswith("scratch-"))))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, "another text of a few words only")]
+    before = {x for x in os.listdir(shared) if x.startswith("scratch-")} if os.path.isdir(shared) else set()
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+    assert left and all(len(set(x) - before) <= 3 for x in left)  # the computation's own, its stored documents, one round's members

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -95,6 +96,12 @@ class Scratch:
         delete(self.spark, self.folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans that made them; between rounds that is asked for, else they pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as T
-from tidewire.llm._shared import Scratch, bucketed, fresh, stored
+from tidewire.llm._shared import Scratch, bucketed, fresh, release, stored
 from tidewire.operators.graph import components
 
 SEED = 42
@@ -234,29 +234,38 @@ def _linked(members: DataFrame, known: DataFrame, sets: DataFrame, similarity: f
     slices = 1
     edited = (F.col("n") - F.col("most")) / F.greatest("n", F.lit(1))
     leader = F.min(F.struct(edited.alias("edited"), "key", "root", "n", "most")).alias("x")
+    before = None
     while True:
+        step, mine = Scratch(scratch.spark), Scratch(scratch.spark)  # what one round needs, and the members it leaves to the next
         if root is None:
             at = members.withColumn("root", F.col("key"))
             chosen = at.groupBy("value").agg(leader)
         else:
-            at = scratch.store(members.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("value", "key", "n", "most", F.coalesce("root", "key").alias("root")))
+            at = step.store(members.join(root.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("value", "key", "n", "most", F.coalesce("root", "key").alias("root")))
             most = at.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
-            most = scratch.store(most.where("roots > 1").select("value", "largest"))
-            at = scratch.store(at.join(most, "value"))
+            most = step.store(most.where("roots > 1").select("value", "largest"))
+            at = step.store(at.join(most, "value"))
             chosen = at.where("root <> largest").groupBy("value", F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice")).agg(leader)
-        chosen = scratch.store(chosen.select("value", F.col("x.key").alias("leader"), F.col("x.root").alias("own"), F.col("x.n").alias("m"), F.col("x.most").alias("least")))
+        chosen = step.store(chosen.select("value", F.col("x.key").alias("leader"), F.col("x.root").alias("own"), F.col("x.n").alias("m"), F.col("x.most").alias("least")))
         if root is not None and chosen.isEmpty():
+            for x in (step, before):
+                x.clear()
             return root
         near = (F.col("root") != F.col("own")) & _can_reach(similarity, F.least("most", "least"), F.col("n"), F.col("m"))
         pairs = at.join(chosen, "value").where(near).select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"), F.col("leader").alias("lead"))
         pairs = (pairs.unionByName(known.withColumn("lead", F.col("b"))) if root is None else pairs).groupBy("a", "b").agg(F.min("lead").alias("lead"))
         pairs = scratch.store(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        similar = scratch.store(_verified(pairs, sets, similarity, scratch))
+        similar = scratch.store(_verified(pairs, sets, similarity, step))
         compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         verified = similar if verified is None else verified.unionByName(similar)
         root = components(verified)
-        members = scratch.store(at.select("value", "key", "n", "most").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
+        members = mine.store(at.select("value", "key", "n", "most").join(chosen.select("value", F.col("leader").alias("key")), ["value", "key"], "left_anti"))
         slices *= MORE_LEADERS
+        for x in (step, before):
+            if x:
+                x.clear()
+        before = mine
+        release(scratch.spark)
 
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
