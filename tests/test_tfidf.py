@@ -37,3 +37,30 @@ def test_trigrams(spark, sf_dir):
     cosine = {(i, j): sum(v * y.get(t, 0) for t, v in x.items()) for (lang, i), x in weights.items() if i % 50 == 0 for (other, j), y in weights.items() if other == lang and x.keys() & y.keys()}
     got = {(r.doc_id, r.other): r.cosine for r in catalog.QUERIES["tfidf_cosine_trigrams"](spark, sf_dir).collect()}
     assert got.keys() == cosine.keys() and all(abs(got[k] - cosine[k]) < 2e-6 for k in got)
+
+
+def test_terms_stay_in_their_blocks(spark, monkeypatch):
+    """Many blocks: equal to brute force, no term is shuffled, and `top` keeps every possible one of the heaviest."""
+    import random
+    from types import SimpleNamespace
+
+    from tidewire.operators import scoring
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)] + ["été", "ÅR", "x", "naïve_1", "日本", "K2"]
+    rows = [(i, rng.choice(["en", "sv", None]), " ".join(rng.choices(vocabulary, k=rng.randrange(0, 60)))) for i in range(260)]
+    rows += [(900, "en", None), (901, "sv", ""), (902, "en", "w1, w1;w2\nw1"), (903, "da", "alone"), (904, "da", "alone again"), (905, "en", "w3 " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    expected = {(*k, t): v for k, x in _weights([SimpleNamespace(doc_id=i, lang=g, text=t) for i, g, t in rows if g]).items() for t, v in x.items()}
+    monkeypatch.setattr(scoring, "TEXT_BLOCK", 4000)
+    weights = scoring.tfidf(docs, "doc_id", "text", "lang")
+    got = {(r.lang, r.doc_id, r.term): r.weight for r in weights.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "term" in x]
+    some = {(r.lang, r.doc_id, r.term): r.weight for r in scoring.tfidf(docs, "doc_id", "text", "lang", top=2).collect()}
+    assert some.items() <= got.items() and len(some) < len(got)
+    for lang, i in {k[:2] for k in got}:
+        mine = sorted((-round(v, 9), k[2]) for k, v in got.items() if k[:2] == (lang, i))[:2]
+        assert {t for _, t in mine} <= {k[2] for k in some if k[:2] == (lang, i)}
+    assert scoring.tfidf(docs.where("false"), "doc_id", "text", "lang").count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewire.llm import _text as T
+from tidewire.functions import spans as T
 from tidewire.llm._shared import fresh
 
 #: Fixed value: the symbols that count as such.

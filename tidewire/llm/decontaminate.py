@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm import _text as T
+from tidewire.functions import spans as T
 from tidewire.llm._shared import fresh, stored
 
 WINDOW = 10

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewire.llm import _text as T
+from tidewire.functions import spans as T
 
 
 @dataclass(frozen=True)

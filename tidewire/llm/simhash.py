@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm import _text as T
+from tidewire.functions import spans as T
 from tidewire.llm._shared import Scratch, bucketed, fresh, release, stored
 from tidewire.operators.graph import components
 
